@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def build_session(app: str = "tessera", master: str | None = None, **conf: str) -> SparkSession:
@@ -44,3 +44,10 @@ def cut(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix=f"tessera-{os.getpid()}-"))
     return df.checkpoint(eager=True)
+
+
+def bounded(df: DataFrame, most: int) -> DataFrame:
+    """``df`` marked for broadcast after a check that it has at most ``most`` rows; raises if it has more."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"a dimension was expected, but it has more than {most} rows")
+    return F.broadcast(df)
