@@ -18,9 +18,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-FENCE = r"^[\s ]*```\w*[\s ]*|[\s ]*```[\s ]*$"
+FENCE = r"^(?U)\s*```\w*\s*|(?U)\s*```\s*$"
 ENCODED = r"^\s*[\[{\"]"
-BLANK = r"^[\s ]*$"
+BLANK = r"^(?U)\s*$"
 
 
 @dataclass(frozen=True)

@@ -206,13 +206,13 @@ def _gcd(a: int, b: int) -> int:
     return a
 
 
-SPACE = r"[\s  ]"
-NUMBER = r"\d(?:[\d.,'’  ]*\d)?"
+SPACE = r"[\s\u00a0\u202f\u2009]"
+NUMBER = r"\d(?:[\d.,'’\u00a0\u202f]*\d)?"
 
 
 def parse_number(digits: Column, german: Column) -> Column:
     """DECIMAL of a number as written: grouping by comma, point, apostrophe or space; comma or point decimals."""
-    d = F.regexp_replace(digits, r"['’  ]", "")
+    d = F.regexp_replace(digits, r"['’\u00a0\u202f]", "")
     both_comma_last = d.rlike(r"\..*,")
     both_point_last = d.rlike(r",.*\.")
     comma_groups = d.rlike(r"^\d{1,3}(,\d{2,3})*,\d{3}$")
@@ -236,7 +236,7 @@ def amounts(values: DataFrame, value: str, label: str, heading: str, conv: DataF
 
     ``heading`` gives the unit of a number that has none; a bare staff number (by ``label``) is persons.
     """
-    v = F.trim(F.regexp_replace(F.regexp_replace(F.col(value), r"[\s  ]*\[source:[^\]]*\][\s  ]*$", ""), rf"^{SPACE}+|{SPACE}+$", ""))
+    v = F.trim(F.regexp_replace(F.regexp_replace(F.col(value), rf"{SPACE}*\[source:[^\]]*\]{SPACE}*$", ""), rf"^{SPACE}+|{SPACE}+$", ""))
     body = F.regexp_replace(F.regexp_replace(v, r"^([^\d(]*)\((.*)\)$", "$1$2"), r"^([^\d+\-−–]*)[+\-−–](?=[^\d]*\d)", "$1")
     negative = v.rlike(r"^[^\d(]*\(.*\)$") | v.rlike(r"^[^\d+\-−–]*[\-−–][^\d]*\d")
     shape = rf"^([^\d]*?){SPACE}*({NUMBER}){SPACE}*(.*)$"
