@@ -52,10 +52,14 @@ class Scalar:
 TRUE_WORDS = ("true", "yes", "y", "1", "t", "on")
 
 
-def parse(json_col: str) -> Column:
-    """The record as VARIANT: fences stripped, up to two encodings undone."""
+def parse(df: DataFrame, json_col: str) -> DataFrame:
+    """``df`` with the record as VARIANT ``v``: fences stripped, a second encoding undone; null if it can't be read.
+
+    Step by step, as each step uses the one before several times.
+    """
     text = F.regexp_replace(F.col(json_col), FENCE, "")
-    return _decode(_decode(F.try_parse_json(text)))
+    once = df.withColumn("t", text).withColumn("t", F.when(F.col("t").startswith('"'), F.regexp_replace(F.try_variant_get(F.try_parse_json("t"), "$", "string"), FENCE, "")).otherwise(F.col("t")))
+    return once.withColumn("v", F.try_parse_json("t")).drop("t")
 
 
 def _decode(v: Column) -> Column:
@@ -79,14 +83,14 @@ def members(v: Column, scalar: bool) -> Column:
 class NestedTables:
     """The flat tables of one JSON column."""
 
-    def __init__(self, df: DataFrame, key: str, kind: str, json_col: str, collections: list[Collection], scalars: list[Scalar] = ()):  # type: ignore[assignment]
+    def __init__(self, df: DataFrame, key: str, kind: str, json_col: str, collections: list[Collection], scalars: list[Scalar] = (), carry: tuple[str, ...] = ()):  # type: ignore[assignment]
         self.collections, self.scalars = list(collections), list(scalars)
         kinds = sorted({k for c in [*self.collections, *self.scalars] for k in c.kinds})
-        self._rows = (
-            df.select(F.col(key).alias("rec"), F.lower(F.trim(F.col(kind))).alias("kind"), F.col(json_col).alias("json"))
+        rows = (
+            df.select(F.col(key).alias("rec"), *carry, F.lower(F.trim(F.col(kind))).alias("kind"), F.col(json_col).alias("json"))
             .filter(F.col("kind").isin(kinds) & F.col("json").isNotNull())
-            .select("rec", "kind", parse("json").alias("v"))
         )
+        self._rows = parse(rows, "json")
         self.key = key
         self.paths = self._infer()
 
@@ -117,7 +121,7 @@ class NestedTables:
         first = [F.array().cast("array<struct<entity:string,pos:int,value:variant>>")]
         rows = self._rows
         for i, c in enumerate(self.collections):
-            rows = rows.withColumn(f"c{i}", _decode(self._at(c)))
+            rows = rows.withColumn(f"c{i}", self._at(c)).withColumn(f"c{i}", _decode(F.col(f"c{i}")))
         for i, s in enumerate(self.scalars):
             rows = rows.withColumn(f"s{i}", self._at(s))
         for i, c in enumerate(self.collections):
@@ -134,7 +138,7 @@ class NestedTables:
             if c.child:
                 child = F.when(F.col("entity") == c.entity, F.try_variant_get("value", f"$['{c.child}']", "variant")).otherwise(child)
                 name = F.when(F.col("entity") == c.entity, F.lit(c.child_entity)).otherwise(name)
-        one = one.withColumn("child", _decode(child))
+        one = one.withColumn("child", child).withColumn("child", _decode(F.col("child")))
         below = F.transform(members(F.col("child"), True), _placed("child_pos"))
         self_ = F.array(F.struct(F.lit(0).alias("child_pos"), F.col("value")))
         two = one.select("rec", "entity", "pos", F.explode(F.concat(self_, below)).alias("j")).filter(F.col("j.value").isNotNull() & (~F.is_variant_null("j.value") | (F.col("pos") == 0)))
@@ -150,6 +154,15 @@ class NestedTables:
             F.col("j.value").alias("value"),
         )
 
+    def texts(self, spec: Scalar, *keep: str) -> DataFrame:
+        """``rec, text`` of one scalar (of its ``text`` member if it is an object) and kept columns; null if absent."""
+        at = self._rows.filter(F.col("kind").isin(list(spec.kinds))).select("rec", *keep, self._at(spec).alias("at"))
+        return at.select("rec", *keep, _text(F.col("at")).alias("text"))
+
+    def unreadable(self, kinds: tuple[str, ...], *keep: str) -> DataFrame:
+        """``rec, json`` of the records of some kinds that can't be read whole."""
+        return self._rows.filter(F.col("kind").isin(list(kinds)) & F.col("v").isNull()).select("rec", *keep, "json")
+
     def found(self) -> DataFrame:
         """One row per distinct item: key, entity, parent_pos, child_pos."""
         return self.items().select(F.col("rec").alias(self.key), "entity", "parent_pos", "child_pos").distinct()
@@ -168,8 +181,12 @@ def _placed(name: str, *lead: Column):  # noqa: ANN202
     return lambda x, i: F.struct(*lead, (i + 1).cast("int").alias(name), x.alias("value"))
 
 
+def _text(v: Column) -> Column:
+    return F.when(F.try_variant_get(v, "$", "map<string,variant>").isNotNull(), F.try_variant_get(v, "$.text", "string")).otherwise(F.try_variant_get(v, "$", "string"))
+
+
 def _means(v: Column, how: str) -> Column:
-    text = F.when(F.try_variant_get(v, "$", "map<string,variant>").isNotNull(), F.try_variant_get(v, "$.text", "string")).otherwise(F.try_variant_get(v, "$", "string"))
+    text = _text(v)
     present = v.isNotNull() & ~F.is_variant_null(v)
     if how == "text":
         return F.coalesce(present & ~text.rlike(BLANK), F.lit(False))
