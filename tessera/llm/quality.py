@@ -3,8 +3,7 @@
 Tables and lists show in vertical delimiter alignment, indentation periodicity and line-length
 autocorrelation; word, symbol and punctuation ratios tell the rest. The statistics are computed over whole
 texts, one pass, no shuffle. A softmax regression over them is trained here on the checked sample
-(at most ``MAX_LABELLED`` rows, those of the lowest hash) and applied to every document; labels are few, so the
-documents that agree with the model and the rules of thumb in ``features`` decide together.
+(at most ``MAX_LABELLED`` rows, those of the lowest hash) and applied to every document.
 
 Defined results: null and blank texts have zero statistics and are of no kind; repeated labels count once,
 contradicting ones keep the least kind; without labels every document is judged by ``prose_share`` alone; an
@@ -36,9 +35,7 @@ COMMON = frozenset(
     "في من على إلى أن هل ب".split()
 )
 CJK_COMMON = "的了是在和与及吗但并于过はがをにのでともした"
-CODE_WORDS = re.compile(r"\b(?:def|return|import|const|let|var|function|class|static|struct|include|func|package|void|public|private|elif|endif|SELECT|FROM|WHERE|INSERT|impl|fn)\b")
-SNAKE = re.compile(r"[a-z]+_[a-z0-9_]+|[a-z]+[A-Z][a-z]|\w\(\w*|[{};]\s*$", re.M)
-SENTENCE_END = re.compile(r"[.!?。！？।؟…][\"”»」』)）]*\s*\Z")
+CODE_WORDS = frozenset("def return import const let var function class static struct include func package void public private elif endif SELECT FROM WHERE INSERT CREATE impl fn #include".split())
 LEAD = re.compile(r"\s*(?:[-*•+]\s|\d{1,3}[.)]\s|#|//|/\*|\*|\||<|@|%|;|--|\"\"\"|'''|REM )")
 LISTED = re.compile(r"[ \t]*(?:[-*•+–]\s|\d{1,3}[.)]\s)")
 
@@ -70,28 +67,27 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 BITS, UPPER = _tables()
+POINTS = np.array([ord(c) for c in ".!?。！？।؟"], np.uint32)
 
 
-def _cjk(line: str) -> int:
-    return sum(1 for ch in line if "぀" <= ch <= "鿿")
-
-
-def _prose_line(line: str) -> bool:
-    """Whether a line looks like a part of running text."""
+def _prose_line(line: str, thai: bool, cjk: bool) -> bool:
+    """Whether a line looks like a part of running text; ``thai`` and ``cjk`` tell whether its text has such letters."""
     if LEAD.match(line):
         return False
-    words = line.split()
-    if len(line) > 20 and any("฀" <= ch <= "๿" for ch in line[:200]):
-        return sum(1 for ch in line if "฀" <= ch <= "๿") > 0.6 * len(line)
-    n_cjk = _cjk(line) if not line.isascii() else 0
-    if n_cjk > 0.4 * len(line):
-        return n_cjk >= 8 and sum(line.count(c) for c in CJK_COMMON) >= 0.05 * n_cjk and not line.count("|")
-    if len(words) < 4:
-        return False
+    if thai and len(line) > 20 and sum(1 for ch in line if "\u0e00" <= ch <= "\u0e7f") > 0.6 * len(line):
+        return True
+    if cjk:
+        n_cjk = sum(1 for ch in line if "\u3040" <= ch <= "\u9fff")
+        if n_cjk > 0.4 * len(line):
+            return n_cjk >= 8 and sum(map(line.count, CJK_COMMON)) >= 0.05 * n_cjk and "|" not in line
     low = line.lower().split()
-    common = sum(1 for w in low if w in COMMON)
-    code = sum(map(line.count, "{}=<>_\\|;[]"))
-    return common >= max(1, 0.12 * len(low)) and code <= 0.02 * len(line) + 1 and "    " not in line.strip() and "\t" not in line.strip()
+    if len(low) < 4:
+        return False
+    common = sum(map(COMMON.__contains__, low))
+    if common < max(1, 0.12 * len(low)):
+        return False
+    bare = line.strip()
+    return "    " not in bare and "\t" not in bare and sum(map(line.count, "{}=<>_\\|;[]")) <= 0.02 * len(line) + 1
 
 
 def features(text: str | None) -> list[float]:
@@ -103,22 +99,30 @@ def features(text: str | None) -> list[float]:
     b = BITS[np.minimum(cp, 0xFFFF)]
     space, letter, digit, code, odd = (int(np.count_nonzero(b & k)) for k in (1, 2, 4, 8, 16))
     ink = max(1, n - space)
-    latin = cp[cp < 0x600]
-    upper = int(np.count_nonzero(UPPER[latin]))
+    is_upper = UPPER[np.minimum(cp, 0x5FF)]
+    upper = int(np.count_nonzero(is_upper))
+    top = int(cp.max())
+    thai = top >= 0xE00 and bool(((cp >= 0xE00) & (cp < 0xE80)).any())
+    cjk = top >= 0x3040 and bool(((cp >= 0x3040) & (cp < 0xA000)).any())
     words = text.split()
     low = text.lower().split()
     n_words = len(words)
-    common = sum(1 for w in low if w in COMMON)
+    common = sum(map(COMMON.__contains__, low))
+    keywords = sum(map(CODE_WORDS.__contains__, words))
+    # names in snake or camel case
+    camel = int(np.count_nonzero(is_upper[1:] & ((b[:-1] & 2) > 0) & ~is_upper[:-1]))
+    names = text.count("_") + camel + text.count(";\n") + text.count("{\n")
     lines = text.split("\n")
     full = [x for x in lines if x.strip()]
     n_full = len(full)
-    ended = sum(1 for x in full if x.rstrip()[-1:] in ".!?。！？।؟…\"”»」:")
+    tails = [x.rstrip()[-1] for x in full]
+    ended = sum(map(".!?。！？।؟…\"”»」:".__contains__, tails))
     bullets = sum(1 for x in full if LISTED.match(x))
     lengths = np.array([len(x) for x in full], float)
     indents = np.array([len(x) - len(x.lstrip(" \t")) for x in full], float)
-    prose = sum(len(x) for x in full if _prose_line(x)) / max(1.0, float(lengths.sum()))
+    prose = sum(len(x) for x in full if _prose_line(x, thai, cjk)) / max(1.0, float(lengths.sum()))
     # items of a list that has no bullets: short lines of few words without an end
-    listing = sum(1 for x in full if len(x) < 60 and x.rstrip()[-1:] not in ".!?,:;{}" and 1 <= len(x.split()) <= 7) / n_full
+    listing = sum(1 for x, e in zip(full, tails, strict=True) if len(x) < 60 and e not in ".!?,:;{}" and len(x.split(None, 8)) <= 7) / n_full
 
     alignment = 0.0
     if n_full >= 3:
@@ -138,11 +142,11 @@ def features(text: str | None) -> list[float]:
     period = max((auto(indents, k) for k in range(1, 9)), default=0.0)
     sample = text.encode("utf-8", "surrogatepass")
     squeezed = len(zlib.compress(sample, 1)) / len(sample)
-    ends = len(re.findall(r"[^\s.!?][.!?](?=\s|$)|[。！？।؟]", text))
+    ends = int(np.count_nonzero(((b[1:] & 1) > 0) & np.isin(cp[:-1], POINTS))) + int(np.count_nonzero(np.isin(cp, POINTS[3:])))
     return [
         float(n), float(n_words), float(len(lines)), sum(map(len, words)) / n_words, (n - space - letter - digit) / ink, code / ink, digit / ink, upper / max(1, letter), ended / n_full, common / n_words, len(set(low)) / n_words,
         float(lengths.mean()), bullets / n_full, 1 - n_full / len(lines), float(np.count_nonzero(indents)) / n_full, alignment, period, auto(lengths, 1), float(lengths.std() / lengths.mean()),
-        len(CODE_WORDS.findall(text)) / n_words, len(SNAKE.findall(text)) / n_words, odd / ink, squeezed, prose, ends / (n / 100), listing,
+        keywords / n_words, names / n_words, odd / ink, squeezed, prose, ends / (n / 100), listing,
     ]
 
 
