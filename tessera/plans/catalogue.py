@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus
+from . import corpus, governance
 
-MODULES = [corpus]
+MODULES = [governance, corpus]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
