@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus, governance
+from . import corpus, governance, runlog, series
 
-MODULES = [governance, corpus]
+MODULES = [governance, runlog, series, corpus]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
