@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus, governance, runlog, series
+from . import corpus, governance, runlog, series, texts
 
-MODULES = [governance, runlog, series, corpus]
+MODULES = [governance, runlog, series, texts, corpus]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

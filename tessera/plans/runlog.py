@@ -43,9 +43,11 @@ def archive_chips(s: SparkSession, d: str) -> DataFrame:
 
 
 def kv_upsert(s: SparkSession, d: str) -> DataFrame:
-    """A store of customer segments, a third of whose keys are put again."""
-    c = table(s, d, "customer").select(F.concat(F.lit("c/"), F.col("c_custkey").cast("string")).alias("key"), F.col("c_mktsegment").alias("value"))
-    changes = c.filter(F.col("key").rlike("3$")).select("key", F.upper(F.concat("value", F.lit("*"))).alias("value")).unionByName(s.createDataFrame([("new/1", "ADDED")], "key string, value string"))
+    """A store of customer segments; those in debt are put again."""
+    key = F.concat(F.lit("c/"), F.col("c_custkey").cast("string")).alias("key")
+    rows = table(s, d, "customer").select(key, F.col("c_mktsegment").alias("value"), "c_acctbal")
+    c = rows.drop("c_acctbal")
+    changes = rows.filter("c_acctbal < 0").select("key", F.upper(F.concat("value", F.lit("*"))).alias("value")).unionByName(s.createDataFrame([("new/1", "ADDED")], "key string, value string"))
     return R.upsert(c, changes, "key")
 
 
@@ -63,7 +65,7 @@ def migrate_antijoin(s: SparkSession, d: str) -> DataFrame:
 def import_once(s: SparkSession, d: str) -> DataFrame:
     """Record files named by their source path, imported if no run has that source."""
     r = table(s, d, "runs")
-    store = r.filter("source is not null and id % 2 = 0").select("source").distinct()
+    store = r.filter("source is not null and lower(trim(status)) = 'done'").select("source").distinct()
     return R.import_new(store, r.filter("source is not null").select("source", "id"), ["source"])
 
 
@@ -152,10 +154,10 @@ max(data ->> '$.model') FILTER (kind = 'start') AS model, max(CASE WHEN kind = '
         "run_list_filter_sort": f"SELECT DISTINCT {COLS} FROM runs WHERE starts_with(upper(trim(ticker)), 'Z')",
         "run_lookup_prefix": "SELECT month, arg_min(id, {'a': started_at, 'b': id}) AS first_run FROM (SELECT DISTINCT id, strftime(started_at, '%Y-%m') AS month, started_at FROM runs WHERE started_at IS NOT NULL) GROUP BY month",
         "archive_chips": "SELECT ticker, review, count(*) AS runs, count(DISTINCT id) AS ids FROM (SELECT DISTINCT id, upper(trim(ticker)) AS ticker, coalesce(review_status, 'none') AS review FROM runs) GROUP BY ROLLUP (ticker, review)",
-        "kv_upsert": "SELECT 'c/' || c_custkey AS key, CASE WHEN c_custkey % 10 = 3 THEN upper(c_mktsegment || '*') ELSE c_mktsegment END AS value FROM customer UNION ALL SELECT 'new/1', 'ADDED'",
+        "kv_upsert": "SELECT 'c/' || c_custkey AS key, CASE WHEN c_acctbal < 0 THEN upper(c_mktsegment || '*') ELSE c_mktsegment END AS value FROM customer UNION ALL SELECT 'new/1', 'ADDED'",
         "prefix_delete": "SELECT c_custkey, c_name FROM customer WHERE NOT starts_with(c_name, 'Customer#00000001')",
         "migrate_antijoin": "WITH r AS (SELECT DISTINCT id, ticker, started_at, mode FROM runs) SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM r s WHERE s.mode = 'web' AND s.ticker IS NOT DISTINCT FROM r.ticker AND s.started_at IS NOT DISTINCT FROM r.started_at AND s.mode IS NOT DISTINCT FROM r.mode)",
-        "import_once": "SELECT DISTINCT source, id FROM runs WHERE source IS NOT NULL AND source NOT IN (SELECT source FROM runs WHERE source IS NOT NULL AND id % 2 = 0)",
+        "import_once": "SELECT DISTINCT source, id FROM runs WHERE source IS NOT NULL AND source NOT IN (SELECT source FROM runs WHERE source IS NOT NULL AND lower(trim(status)) = 'done')",
         "replay_schedule": f"""WITH e AS (SELECT DISTINCT event_id, run_id, seq, event FROM run_events WHERE run_id IS NOT NULL)
 SELECT run_id, event_id, printf('%02d', row_number() OVER w) || '-' || lower(trim(event)) AS turn_id, round(sum(CAST({DELAY_SQL} AS DOUBLE)) OVER (PARTITION BY run_id ORDER BY seq, event_id ROWS UNBOUNDED PRECEDING) / 2.0, 4) AS show_at
 FROM e WINDOW w AS (PARTITION BY run_id ORDER BY seq, event_id)""",
