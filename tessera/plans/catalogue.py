@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus, governance, runlog, series, texts
+from . import corpus, figures, governance, runlog, series, signals, streams, texts
 
-MODULES = [governance, runlog, series, texts, corpus]
+MODULES = [governance, runlog, series, texts, figures, signals, streams, corpus]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
