@@ -21,6 +21,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from tessera.session import bounded
+
 MAX_LABELLED = 20_000
 KINDS = ("code", "junk", "list", "prose", "table")
 L2, STEPS, RATE = 0.02, 600, 0.5
@@ -209,6 +211,7 @@ def train(documents: DataFrame, doc_labels: DataFrame) -> tuple[np.ndarray, np.n
     """The model of the labelled sample; at most ``MAX_LABELLED`` rows of statistics come to the driver."""
     known = doc_labels.filter(F.lower(F.trim("kind")).isin(list(KINDS))).groupBy("doc_id").agg(F.min(F.lower(F.trim("kind"))).alias("kind"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
+    known = bounded(known, MAX_LABELLED)  # so the documents' texts need no shuffle
     got = statistics(documents.join(known.select("doc_id"), "doc_id", "left_semi")).join(known, "doc_id").filter("n_words > 0").orderBy("doc_id").toPandas()
     if got.kind.nunique() < 2 or "prose" not in set(got.kind):
         return None
