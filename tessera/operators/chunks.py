@@ -75,7 +75,7 @@ def _blocks(df: DataFrame, id_col: str, vec_col: str, label: str | None, size: i
 
         for b in batches:
             for i, v, g in zip(b["id"], b["vec"], b["label"], strict=True):
-                if i is None or v is None or not len(v):
+                if not len(v):
                     continue
                 x = np.asarray(v, np.float64)
                 norm = np.sqrt((x * x).sum())
@@ -89,7 +89,8 @@ def _blocks(df: DataFrame, id_col: str, vec_col: str, label: str | None, size: i
         if vecs:
             yield flush()
 
-    cols = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"), (F.col(label) if label else F.lit(None)).cast("bigint").alias("label"))
+    known = df.filter(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull())
+    cols = known.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"), (F.col(label) if label else F.lit(None)).cast("bigint").alias("label"))
     return cols.mapInPandas(pack, "ids binary, labels binary, dim int, matrix binary")
 
 

@@ -62,6 +62,13 @@ def parse(df: DataFrame, json_col: str) -> DataFrame:
     return once.withColumn("v", F.try_parse_json("t")).drop("t")
 
 
+def _get(path: str) -> Column:
+    """The value at a dotted path of the record; the record itself for an empty one."""
+    if not path:
+        return F.col("v")
+    return F.try_variant_get("v", "$" + "".join(f"['{x}']" for x in path.split(".")), "variant")
+
+
 def _decode(v: Column) -> Column:
     """A string variant holding JSON becomes what it encodes; anything else stays."""
     s = F.when(F.try_variant_get(v, "$", "map<string,variant>").isNull() & F.try_variant_get(v, "$", "array<variant>").isNull(), F.try_variant_get(v, "$", "string"))
@@ -95,10 +102,31 @@ class NestedTables:
         self.paths = self._infer()
 
     def _infer(self) -> dict[str, list[tuple[str, str]]]:
-        """kind -> [(dotted path, type)] of the merged schema, objects only descended."""
-        # The result has one row per record kind and its size depends on the schema, not on the rows.
-        merged = self._rows.filter(F.col("v").isNotNull()).groupBy("kind").agg(F.schema_of_variant_agg("v").alias("s")).collect()
-        return {r["kind"]: list(_walk(r["s"])) for r in merged}
+        """kind -> [(dotted path, type)] of the merged schema, objects only descended.
+
+        Where records disagree about a path (an object in some, a text in others) the merged type says only
+        that; another round then merges the objects at that path alone. There are as many rounds as such
+        disagreements are deep, one as a rule.
+        """
+        wanted = [c.path for c in [*self.collections, *self.scalars]]
+        found: dict[str, dict[str, str]] = {}
+        todo, done = [""], set()
+        while todo:
+            at = [_get(p) for p in todo]
+            aggs = [F.schema_of_variant_agg(F.when(F.try_variant_get(v, "$", "map<string,variant>").isNotNull(), v)).alias(f"s{i}") for i, v in enumerate(at)]
+            # The result has one row per record kind and its size depends on the schema, not on the rows.
+            merged = self._rows.filter(F.col("v").isNotNull()).groupBy("kind").agg(*aggs).collect()
+            done.update(todo)
+            more = set()
+            for r in merged:
+                for i, prefix in enumerate(todo):
+                    for p, kind in _walk(r[f"s{i}"] or "VOID"):
+                        path = f"{prefix}.{p}" if prefix else p
+                        found.setdefault(r["kind"], {})[path] = kind
+                        if kind == "VARIANT" and not any(path == w or path.endswith("." + w) for w in wanted):
+                            more.add(path)
+            todo = sorted(more - done)
+        return {k: list(v.items()) for k, v in found.items()}
 
     def _at(self, spec: Collection | Scalar) -> Column:
         """The spec's value, wherever the merged schema of each record kind has it."""
@@ -108,7 +136,7 @@ class NestedTables:
             found = [p for p, _ in self.paths.get(kind, []) if p == spec.path or p.endswith("." + spec.path)]
             found = [p for p in found if not any(f".{o}." in f".{p}" for o in others)]
             if found:
-                at = F.coalesce(*[F.try_variant_get("v", "$" + "".join(f"['{x}']" for x in p.split(".")), "variant") for p in sorted(found, key=len)])
+                at = F.coalesce(*[_get(p) for p in sorted(found, key=len)])
                 out = F.when(F.col("kind") == kind, at).otherwise(out)
         return out
 
