@@ -104,7 +104,8 @@ def route(patterns: dict[tuple[str, ...], int], targets: dict[str, tuple[Fractio
             lo = mid
         else:
             hi = mid - 1
-    return attempt(lo)[0], lo
+    flow = attempt(lo)[0]
+    return flow, lo if flow else 0
 
 
 def texts(documents: DataFrame, sources: DataFrame, vocabulary: str) -> DataFrame:

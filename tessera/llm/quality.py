@@ -39,6 +39,7 @@ COMMON = frozenset(
 CJK_COMMON = "的了是在和与及吗但并于过はがをにのでともした"
 CODE_WORDS = frozenset("def return import const let var function class static struct include func package void public private elif endif SELECT FROM WHERE INSERT CREATE impl fn #include".split())
 LEAD = re.compile(r"\s*(?:[-*•+]\s|\d{1,3}[.)]\s|#|//|/\*|\*|\||<|@|%|;|--|\"\"\"|'''|REM )")
+CALL = re.compile(r"\w\(\w*[,)=]|\)\s*[:{]\Z|\w\[")
 LISTED = re.compile(r"[ \t]*(?:[-*•+–]\s|\d{1,3}[.)]\s)")
 
 NAMES = (
@@ -89,6 +90,8 @@ def _prose_line(line: str, thai: bool, cjk: bool) -> bool:
     if common < max(1, 0.12 * len(low)):
         return False
     bare = line.strip()
+    if CALL.search(bare):
+        return False
     return "    " not in bare and "\t" not in bare and sum(map(line.count, "{}=<>_\\|;[]")) <= 0.02 * len(line) + 1
 
 
