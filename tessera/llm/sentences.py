@@ -111,10 +111,23 @@ def mark_breaks(text: str) -> str:
                 blocks.append((start, i))
             start = None
 
+    def unspaced(ch: str) -> bool:
+        return "\u2e80" <= ch <= "\uffef" or "\u0e00" <= ch <= "\u0e7f"
+
+    def runs_on(i: int) -> bool:
+        """Whether, in a wrapped text, line i+1 plainly goes on with the sentence of line i."""
+        a, b = lines[i].rstrip(), lines[i + 1].lstrip()
+        return len(a) >= WRAP_LEAST and not a[-1] in ".!?:" and b[0].islower()
+
     def overflows(i: int, width: int) -> bool:
-        """Whether the first word of line i+1 would not have fitted on line i."""
+        """Whether the first word of line i+1 would not have fitted on line i.
+
+        Scripts without spaces aren't wrapped at words, so their lines are paragraphs.
+        """
         a, b = lines[i].rstrip(), lines[i + 1].lstrip()
-        return len(a) >= WRAP_LEAST and len(a) + (0 if a.endswith("-") else 1) + len(b.split(None, 1)[0]) > width
+        if unspaced(a[-1]) or unspaced(b[0]):
+            return False
+        return len(a) >= WRAP_LEAST and len(a) + (0 if a.endswith("-") else 1) + len(b.split(' ', 1)[0]) > width  # a no-break space doesn't break
 
     widths = []
     for lo, hi in blocks:
@@ -125,7 +138,7 @@ def mark_breaks(text: str) -> str:
     seps = ["\n"] * (len(lines) - 1)
     for lo, hi in blocks:
         for i in range(lo, hi - 1):
-            if len(lines[i]) <= usual and overflows(i, usual):
+            if len(lines[i]) <= usual and (overflows(i, usual) or (widths and runs_on(i))):
                 seps[i] = SOFT
     return "".join(x for pair in zip(lines, [*seps, ""], strict=True) for x in pair)
 
