@@ -62,8 +62,9 @@ def anchors(lines: DataFrame) -> DataFrame:
 
 def text_claims(turns: DataFrame) -> DataFrame:
     """``run_id, turn_id, pos, claim`` of the numeric claims of messages."""
-    said = turns.filter(F.col("text").isNotNull()).select("run_id", F.col("id").alias("turn_id"), "text").distinct()
-    return said.select("run_id", "turn_id", F.posexplode(N.claims(F.col("text"))).alias("pos", "claim"))
+    said = turns.filter(F.col("text").isNotNull()).select("run_id", F.col("id").alias("turn_id"), "text")
+    # repeated rows go after the claims are taken out, so no text is shuffled
+    return said.select("run_id", "turn_id", F.posexplode(N.claims(F.col("text"))).alias("pos", "claim")).distinct()
 
 
 def trace(claims: DataFrame, marks: DataFrame) -> DataFrame:

@@ -182,10 +182,15 @@ class NestedTables:
             F.col("j.value").alias("value"),
         )
 
-    def texts(self, spec: Scalar, *keep: str) -> DataFrame:
-        """``rec, text`` of one scalar (of its ``text`` member if it is an object) and kept columns; null if absent."""
-        at = self._rows.filter(F.col("kind").isin(list(spec.kinds))).select("rec", *keep, self._at(spec).alias("at"))
-        return at.select("rec", *keep, _text(F.col("at")).alias("text"))
+    def texts(self, *keep: str) -> DataFrame:
+        """One row per record, in one pass: ``rec``, the kept columns, a text column for each scalar, and ``unreadable``.
+
+        A scalar's text is that of its ``text`` member if it is an object; null if absent or of another kind of
+        record. ``unreadable`` is the JSON of a record that can't be read whole, else null.
+        """
+        rows = self._rows.withColumns({f"at_{x.entity}": self._at(x) for x in self.scalars})
+        out = [F.when(F.col("kind").isin(list(x.kinds)), _text(F.col(f"at_{x.entity}"))).alias(x.entity) for x in self.scalars]
+        return rows.select("rec", *keep, "kind", *out, F.when(F.col("v").isNull(), F.col("json")).alias("unreadable"))
 
     def unreadable(self, kinds: tuple[str, ...], *keep: str) -> DataFrame:
         """``rec, json`` of the records of some kinds that can't be read whole."""

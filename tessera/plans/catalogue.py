@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus, figures, governance, runlog, series, signals, sources, streams, texts
+from . import corpus, figures, governance, packets, runlog, series, signals, sources, streams, texts
 
-MODULES = [governance, runlog, series, texts, figures, signals, sources, streams, corpus]
+MODULES = [governance, packets, runlog, series, texts, figures, signals, sources, streams, corpus]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
