@@ -88,10 +88,14 @@ def members(v: Column, scalar: bool) -> Column:
 
 
 class NestedTables:
-    """The flat tables of one JSON column."""
+    """The flat tables of one JSON column.
 
-    def __init__(self, df: DataFrame, key: str, kind: str, json_col: str, collections: list[Collection], scalars: list[Scalar] = (), carry: tuple[str, ...] = ()):  # type: ignore[assignment]
-        self.collections, self.scalars = list(collections), list(scalars)
+    ``carry`` names columns to keep, ``opaque`` paths known to hold nothing wanted, which the schema isn't
+    followed into where records disagree about them.
+    """
+
+    def __init__(self, df: DataFrame, key: str, kind: str, json_col: str, collections: list[Collection], scalars: list[Scalar] = (), carry: tuple[str, ...] = (), opaque: tuple[str, ...] = ()):  # type: ignore[assignment]
+        self.collections, self.scalars, self.opaque = list(collections), list(scalars), opaque
         kinds = sorted({k for c in [*self.collections, *self.scalars] for k in c.kinds})
         rows = (
             df.select(F.col(key).alias("rec"), *carry, F.lower(F.trim(F.col(kind))).alias("kind"), F.col(json_col).alias("json"))
@@ -108,7 +112,7 @@ class NestedTables:
         that; another round then merges the objects at that path alone. There are as many rounds as such
         disagreements are deep, one as a rule.
         """
-        wanted = [c.path for c in [*self.collections, *self.scalars]]
+        wanted = [*[c.path for c in [*self.collections, *self.scalars]], *self.opaque]
         found: dict[str, dict[str, str]] = {}
         todo, done = [""], set()
         while todo:
