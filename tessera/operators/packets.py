@@ -108,3 +108,71 @@ def salvaged(records: DataFrame, key: str, text: str) -> DataFrame:
             yield pd.DataFrame([(k, ",".join(sorted(x))) for k, x in got if x], columns=["k", "fields"])
 
     return records.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, fields string").withColumnRenamed("k", key)
+
+
+def deduped(claims: DataFrame, key: str, pos: str, text: str, same: float) -> DataFrame:
+    """Claims of each key in order, without those like one kept before (Jaccard of words at least ``same``).
+
+    A fold over the few claims of one key, inside the JVM.
+    """
+    one = claims.filter(F.col(text).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_set(F.struct(F.col(pos).alias("pos"), F.col(text).alias("text"), words(F.col(text)).alias("w")))).alias("a"))
+    none = F.slice("a", 1, 0)
+
+    def like(x: Column, y: Column) -> Column:
+        union = F.size(F.array_union(x["w"], y["w"]))
+        return (F.lower(F.trim(x["text"])) == F.lower(F.trim(y["text"]))) | (F.size(F.array_intersect(x["w"], y["w"])) >= F.lit(same) * union) & (union > 0)
+
+    kept = F.aggregate("a", none, lambda acc, x: F.when(F.exists(acc, lambda y: like(x, y)), acc).otherwise(F.concat(acc, F.array(x))))
+    return one.select(key, F.explode(kept).alias("k")).select(key, F.col("k.pos").alias(pos), F.col("k.text").alias(text))
+
+
+def like_titles(titles: DataFrame, key: str, title: str, same: float) -> DataFrame:
+    """Pairs of distinct titles of a key whose words overlap (in the smaller set) by at least ``same``, once each.
+
+    The smaller set must have one of its rarest words in common with the larger, so only those words of it are
+    joined: candidates are exact without looking at all pairs.
+    """
+    one = titles.filter(F.col(title).isNotNull()).select(F.col(key).alias("key"), F.col(title).alias("title")).distinct().withColumn("w", words(F.col("title"))).filter(F.size("w") > 0)
+    each = one.select("key", "title", F.explode("w").alias("word"))
+    freq = each.groupBy("key", "word").agg(F.count("*").alias("n"))
+    ranked = each.join(freq, ["key", "word"]).groupBy("key", "title").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "word"))), lambda x: x["word"]).alias("r"))
+    need = F.size("r") - F.ceil(F.lit(same) * F.size("r")) + 1
+    rare = ranked.select("key", "title", F.size("r").alias("size"), F.explode(F.slice("r", F.lit(1), need.cast("int"))).alias("word"))
+    other = each.join(ranked.select("key", "title", F.size("r").alias("osize")), ["key", "title"]).select("key", "word", F.col("title").alias("other"), "osize")
+    cand = rare.join(other, ["key", "word"]).filter((F.col("title") != F.col("other")) & ((F.col("size") < F.col("osize")) | ((F.col("size") == F.col("osize")) & (F.col("title") < F.col("other"))))).select("key", "title", "other").distinct()
+    full = cand.join(one.select("key", "title", F.col("w").alias("a")), ["key", "title"]).join(one.select("key", F.col("title").alias("other"), F.col("w").alias("b")), ["key", "other"])
+    share = F.size(F.array_intersect("a", "b")) / F.least(F.size("a"), F.size("b"))
+    return full.withColumn("share", F.round(share, 6)).filter(share >= same).select("key", "title", "other", "share")
+
+
+MARKERS = re.compile(r"(?i)\b(?P<ttm>ttm|trailing|last twelve months)\b|\b(?P<forward>forward|next (?:year|quarter)|guidance|outlook)\b|\b(?P<quarter>quarter|three months|q[1-4])\b|\b(?P<annual>annual|fiscal year|full[ -]year|fy ?\d{2,4}|a year ago|over the year)\b")
+
+
+def nearest_marker(sentence: str, begin: int, end: int) -> str | None:
+    """The period marker that goes with a figure: one that overlaps it, one joined to it right after, else the nearest before, else after."""
+    found = [(m.start(), m.end(), m.lastgroup) for m in MARKERS.finditer(sentence)]
+    for a, b, name in found:
+        if a < end and begin < b:
+            return name
+    for a, _, name in found:
+        if 0 <= a - end <= 40 and re.match(r"\s+(?:on|of|for|at|in|over)\b", sentence[end:a]):
+            return name
+    before = [(begin - b, name) for _, b, name in found if b <= begin]
+    after = [(a - end, name) for a, _, name in found if a >= end]
+    return min(before)[1] if before else min(after)[1] if after else None
+
+
+def claim_periods(sentences: DataFrame, keys: list[str], sentence: str) -> DataFrame:
+    """``claim, period`` of every figure of the sentences, by the nearest marker."""
+    figure = re.compile(r"[$€£]?\d[\d,]*(?:\.\d+)?\s?(?:%|x\b|(?:trillion|billion|million)\b)?")
+    kinds = dict(sentences.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for row in b.itertuples(index=False):
+                text = row[-1] or ""
+                out += [(*row[:-1], m[0].strip(), nearest_marker(text, m.start(), m.end())) for m in figure.finditer(text)]
+            yield pd.DataFrame(out, columns=[*keys, "claim", "period"])
+
+    return sentences.select(*keys, sentence).mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", claim string, period string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.functions import periods as P
+from tessera.functions.text import STOP
 from tessera.operators import claims as C, nested, packets as K
 from tessera.session import table
 
@@ -74,11 +75,29 @@ def residual_shares(s: SparkSession, d: str) -> DataFrame:
     return t.select("l_linestatus", F.round(100 - 100 * F.col("top") / F.col("total"), 4).alias("residual_pct"))
 
 
+def deduped_claims(s: SparkSession, d: str) -> DataFrame:
+    c = nested.event_tables(table(s, d, "run_events")).flat("judge_claim", [])
+    return K.deduped(c.select("event_id", F.col("parent_pos").alias("pos"), "item"), "event_id", "pos", "item", 0.8)
+
+
+def like_titles(s: SparkSession, d: str) -> DataFrame:
+    r = table(s, d, "runs").filter("ticker is not null").groupBy(F.col("id").alias("run_id")).agg(F.min(F.upper(F.trim("ticker"))).alias("ticker"))
+    x = table(s, d, "sections").filter("risk_title is not null").select("run_id", "risk_title").distinct().join(r, "run_id")
+    return K.like_titles(x, "ticker", "risk_title", 0.8)
+
+
+def claim_periods(s: SparkSession, d: str) -> DataFrame:
+    got = K.claim_periods(C.sentences_of(table(s, d, "turns")), ["turn_id", "pos"], "sentence")
+    return got.groupBy("period").agg(F.count("*").alias("n"))
+
+
 def queries() -> dict:
-    fs = [ticker_shapes, document_scales, best_facts, proportional_caps, figure_excerpts, question_tags, archetypes, headline_matches, stale_sections, salvaged_records, residual_shares]
+    fs = [ticker_shapes, document_scales, best_facts, proportional_caps, figure_excerpts, question_tags, archetypes, headline_matches, stale_sections, salvaged_records, residual_shares, deduped_claims, like_titles, claim_periods]
     return {f.__name__: f for f in fs}
 
 
+STOPS = "[" + ", ".join(f"'{w}'" for w in STOP) + "]"
+WORDS = f"list_filter(list_distinct(regexp_extract_all(lower(risk_title), '([a-z0-9]{{2,}})', 1)), lambda w: NOT list_contains({STOPS}, w))"
 HITS = {k: f"len(regexp_extract_all(text, '{p}'))" for k, p in K.ARCHETYPES.items()}
 
 
@@ -93,5 +112,8 @@ SELECT run_id, CASE WHEN len(l) = 1 THEN l[1] END AS scale FROM s""",
         "archetypes": f"SELECT archetype, count(*) AS n FROM (SELECT DISTINCT section_id, CASE WHEN {top} = 0 THEN NULL " + " ".join(f"WHEN {h} = {top} THEN '{k}'" for k, h in HITS.items()) + " END AS archetype FROM sections WHERE text IS NOT NULL) GROUP BY 1",
         "stale_sections": """WITH r AS (SELECT id AS run_id, min(started_at) AS s FROM runs WHERE started_at IS NOT NULL GROUP BY id) SELECT section_id, x.run_id FROM (SELECT DISTINCT section_id, run_id, filing_date FROM sections WHERE filing_date IS NOT NULL) x JOIN r ON r.run_id = x.run_id
 WHERE (year(s) - year(filing_date)) * 12 + month(s) - month(filing_date) > 7""",
+        "like_titles": f"""WITH r AS (SELECT id AS run_id, min(upper(trim(ticker))) AS ticker FROM runs WHERE ticker IS NOT NULL GROUP BY id), x AS (SELECT DISTINCT ticker, risk_title, {WORDS} AS w FROM sections JOIN r USING (run_id) WHERE risk_title IS NOT NULL)
+SELECT a.ticker AS key, a.risk_title AS title, b.risk_title AS other, round(CAST(len(list_intersect(a.w, b.w)) AS DOUBLE) / len(a.w), 6) AS share FROM x a JOIN x b ON a.ticker = b.ticker AND (len(a.w) < len(b.w) OR (len(a.w) = len(b.w) AND a.risk_title < b.risk_title))
+WHERE len(a.w) > 0 AND CAST(len(list_intersect(a.w, b.w)) AS DOUBLE) / len(a.w) >= 0.8""",
         "residual_shares": "WITH g AS (SELECT l_linestatus, l_returnflag, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2) SELECT l_linestatus, round(100 - 100 * max(q) / sum(q), 4) AS residual_pct FROM g GROUP BY 1",
     }

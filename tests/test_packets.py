@@ -45,3 +45,31 @@ def test_empty_tables(spark):
     e = spark.createDataFrame([], "run_id bigint, ord int, label string, value string, source_tag string, line string")
     q = spark.createDataFrame([], "run_id bigint, question string, text string")
     assert K.best_facts(e).count() == 0 and K.tagged_lines(e, q).count() == 0 and K.proportional_cap(e, "run_id", "line", 5).count() == 0
+
+
+def test_claims_like_an_earlier_one_go(spark):
+    rows = [(1, 1, "The pilot foundry drew on input prices"), (1, 2, "the pilot foundry drew on input prices "), (1, 3, "The pilot foundry drew on higher input prices"), (1, 4, "Sales fell"), (2, 1, None), (1, 4, "Sales fell")]
+    c = spark.createDataFrame(rows, "k bigint, pos int, t string")
+    assert sorted((r.k, r.pos) for r in K.deduped(c, "k", "pos", "t", 0.8).collect()) == [(1, 1), (1, 4)]
+
+
+def test_like_titles_equal_brute_force(spark):
+    import itertools
+    import random
+
+    rng = random.Random(4)
+    titles = [(rng.choice("ab"), " ".join(rng.sample(["sea", "rail", "port", "dock", "ship", "crane", "fuel", "toll"], rng.randint(1, 5)))) for _ in range(80)] + [("a", None), ("a", "the of")]
+    df = spark.createDataFrame(titles, "k string, t string")
+    got = {(r.key, frozenset((r.title, r.other))) for r in K.like_titles(df, "k", "t", 0.8).collect()}
+    want = set()
+    for (k, a), (m, b) in itertools.combinations({x for x in titles if x[1]}, 2):
+        x, y = set(a.split()) - {"the", "of"}, set(b.split()) - {"the", "of"}
+        if k == m and a != b and x and y and len(x & y) / min(len(x), len(y)) >= 0.8:
+            want.add((k, frozenset((a, b))))
+    assert got == want and want
+
+
+def test_nearest_period_marker():
+    s = "The quarter margin of 12% beat annual growth of 9%, and 5% over the year"
+    assert [K.nearest_marker(s, s.index(x), s.index(x) + len(x)) for x in ("12%", "9%", "5%")] == ["quarter", "annual", "annual"]
+    assert K.nearest_marker("It is 5%.", 6, 8) is None
