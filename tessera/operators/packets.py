@@ -115,15 +115,15 @@ def deduped(claims: DataFrame, key: str, pos: str, text: str, same: float) -> Da
 
     A fold over the few claims of one key, inside the JVM.
     """
-    one = claims.filter(F.col(text).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_set(F.struct(F.col(pos).alias("pos"), F.col(text).alias("text"), words(F.col(text)).alias("w")))).alias("a"))
-    none = F.slice("a", 1, 0)
+    one = claims.filter(F.col(text).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_set(F.struct(F.col(pos).alias("pos"), F.col(text).alias("text"), words(F.col(text)).alias("w")))).alias("_all"))
+    none = F.slice("_all", 1, 0)
 
     def like(x: Column, y: Column) -> Column:
         union = F.size(F.array_union(x["w"], y["w"]))
         return (F.lower(F.trim(x["text"])) == F.lower(F.trim(y["text"]))) | (F.size(F.array_intersect(x["w"], y["w"])) >= F.lit(same) * union) & (union > 0)
 
-    kept = F.aggregate("a", none, lambda acc, x: F.when(F.exists(acc, lambda y: like(x, y)), acc).otherwise(F.concat(acc, F.array(x))))
-    return one.select(key, F.explode(kept).alias("k")).select(key, F.col("k.pos").alias(pos), F.col("k.text").alias(text))
+    kept = F.aggregate("_all", none, lambda acc, x: F.when(F.exists(acc, lambda y: like(x, y)), acc).otherwise(F.concat(acc, F.array(x))))
+    return one.select(key, F.explode(kept).alias("_kept")).select(key, F.col("_kept.pos").alias(pos), F.col("_kept.text").alias(text))
 
 
 def like_titles(titles: DataFrame, key: str, title: str, same: float) -> DataFrame:
