@@ -431,18 +431,19 @@ def _emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def sentences(sections: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """``section_id, end_pos`` of every sentence, each section once.
+    """``section_id, end_pos`` of every sentence, each once.
 
-    The two branches differ only in where a text is read; long texts are rare, so theirs is small.
+    The two branches differ only in where a text is read. Repeated sections are read each and their sentences
+    taken once, so no short text is shuffled; long texts are rare, and theirs are.
     """
-    once = sections.select("section_id", "text").filter(F.col("text").isNotNull()).dropDuplicates(["section_id"])
+    some = sections.select("section_id", "text").filter(F.col("text").isNotNull())
     out = "section_id bigint, end_pos int"
-    short = once.filter(F.char_length("text") <= chunk).mapInPandas(_short, out)
-    chunks = once.filter(F.char_length("text") > chunk).mapInPandas(_cut(chunk), CHUNK_SCHEMA).repartition("section_id", "no")
+    short = some.filter(F.char_length("text") <= chunk).mapInPandas(_short, out)
+    chunks = some.filter(F.char_length("text") > chunk).dropDuplicates(["section_id"]).mapInPandas(_cut(chunk), CHUNK_SCHEMA).repartition("section_id", "no")
     # one small row per chunk, so a group is as small as a text's length over the chunk size
     states = chunks.mapInPandas(_functions, "section_id bigint, no int, f binary").groupBy("section_id").applyInPandas(_compose, "section_id bigint, no int, right int, left int")
     long = chunks.join(states, ["section_id", "no"]).mapInPandas(_emit, out)
-    return short.unionByName(long)
+    return short.unionByName(long).distinct()
 
 
 def sentence_units(sections: DataFrame, chunk: int = CHUNK) -> DataFrame:
