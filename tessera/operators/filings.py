@@ -59,8 +59,7 @@ def newest(filings: DataFrame, n: int) -> DataFrame:
 
 def report_kind(text: Column) -> Column:
     """What a current report is: monthly figures before a quarter's results before any other."""
-    head = F.substring(text, 1, 20_000)
-    return F.when(head.rlike(MONTHLY), "monthly").when(head.rlike(QUARTER) & (F.regexp_count(head, F.lit(RESULTS)) >= 2), "quarterly").when(head.rlike(RESULTS), "interim").otherwise("other")
+    return F.when(text.rlike(MONTHLY), "monthly").when(text.rlike(QUARTER) & (F.regexp_count(text, F.lit(RESULTS)) >= 2), "quarterly").when(text.rlike(RESULTS), "interim").otherwise("other")
 
 
 def exhibit_rank(name: Column) -> Column:

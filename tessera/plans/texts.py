@@ -168,7 +168,7 @@ n AS (SELECT ticker, max({{'d': filing_date, 'a': accession, 'b': b}}) FILTER (b
 SELECT ticker, CASE WHEN x.b = '10-K' THEN 'us' WHEN x.b = '20-F' THEN 'foreign' WHEN x.b = '40-F' THEN 'canadian' WHEN p = 1 THEN 'unclear' ELSE 'none' END AS filer_type FROM n""",
         "newest_filings": f"WITH f AS (SELECT DISTINCT ticker, {BASE} AS form, filing_date, accession FROM filings WHERE ticker IS NOT NULL AND filing_date IS NOT NULL), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY ticker, form ORDER BY filing_date DESC, accession DESC) AS INT) AS k FROM f) SELECT * FROM k WHERE k <= 2",
         "report_kinds": f"""SELECT CASE WHEN regexp_matches(h, '{L.MONTHLY}') THEN 'monthly' WHEN regexp_matches(h, '{L.QUARTER}') AND len(regexp_extract_all(h, '{L.RESULTS}')) >= 2 THEN 'quarterly' WHEN regexp_matches(h, '{L.RESULTS}') THEN 'interim' ELSE 'other' END AS kind, count(*) AS n
-FROM (SELECT substring(text, 1, 20000) AS h FROM (SELECT DISTINCT section_id, text FROM sections WHERE text IS NOT NULL)) GROUP BY 1""",
+FROM (SELECT text AS h FROM (SELECT DISTINCT section_id, text FROM sections WHERE text IS NOT NULL)) GROUP BY 1""",
         "exhibit_ranks": "SELECT * FROM (VALUES ('ex991.htm', 0), ('pressrelease.htm', 1), ('ex-99_2.htm', 2), ('exhibit10.htm', 3), ('slides.pdf', 4)) t(name, rank)",
         "section_longest_span": "SELECT 'We depend on few suppliers. Demand may fall.' AS section",
         "missing_sections": f"SELECT {BASE} AS base, count(*) AS n FROM (SELECT DISTINCT doc_id, form FROM filings) WHERE doc_id NOT IN (SELECT doc_id FROM sections WHERE doc_id IS NOT NULL) GROUP BY 1",
