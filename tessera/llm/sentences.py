@@ -33,10 +33,12 @@ PLACES = frozenset("u.s e.u u.k u.n u.s.a".split())
 ATTACHED = frozenset("Treasury Treasuries Government Congress Senate House Department Federal Army Navy Supreme District Court Dollar Dollars Bank Commission Council Parliament President Secretary Securities Food Patent Customs Postal".split())
 GERMAN_BEFORE = frozenset("am im vom zum den der dem des bis seit ab beim".split())
 GERMAN_AFTER = frozenset("Januar Februar März April Mai Juni Juli August September Oktober November Dezember Quartal Halbjahr Jahrhundert Tag Woche Monat Jahr Stock Etage Platz Auflage".split())
+SPECIAL = TITLES | JOINING | NUMBERED | ENDING
 PARTICLES = frozenset("とがはをのにもでなやへって")
 
 SOFT = "\x1f"  # a line break inside a hard-wrapped paragraph
 SPACES = r"\s\x1f\u00a0\u202f"
+BLANKS = " \t\r\n\x1f\u00a0\u202f\u3000\u2009\u200a\u2002\u2003"
 BULLET = re.compile(r"[ \t]*(?:[-•*–·▪◦]|\d{1,3}[.)]|\(\w\))[ \t ]")
 UNAVAILABLE = re.compile(r"\s*\[[^\[\]]*\bunavailable\b[^\[\]]*\]\s*\Z", re.I)
 WRAP_LEAST, WRAP_MOST, WRAP_USUAL = 50, 100, 78
@@ -48,6 +50,7 @@ EVENT = re.compile(
     rf"|(?P<b>[(（\[【])|(?P<d>[)）\]】])"
     rf"|(?P<s>(?<=[฀-๿])[ \u00a0\x1f]+(?=[฀-๿]))"
 )
+SHUT, UNQUOTE, INITIALS = re.compile(r"[)）\]】]"), re.compile(r"[\"“”’」』»›]"), re.compile(r"[^\W\d_](\.[^\W\d_])*\Z")
 WORD_BACK = re.compile(r"[^\s\x1f\"“„«(\[（]*\Z")
 NEXT_WORD = re.compile(rf"[{SPACES}]*([^{SPACES}]?[^{SPACES},.;:!?)”\"]*)")
 
@@ -155,7 +158,7 @@ def _starts(text: str, at: int) -> bool:
 def _term(text: str, m: re.Match) -> int | None:
     """The event of a terminator, or None if it is part of a word."""
     run, closers, end = m["t"], m["c"], m.end()
-    closes = (2 if re.search(r"[)）\]】]", closers) else 0) | (1 if re.search(r"[\"“”’」』»›]", closers) else 0)
+    closes = ((2 if SHUT.search(closers) else 0) | (1 if UNQUOTE.search(closers) else 0)) if closers else 0
     after = text[end : end + 1]
     apart = not after or after.isspace() or after == SOFT
 
@@ -197,6 +200,8 @@ def _term(text: str, m: re.Match) -> int | None:
             return None
         return event(False)
     low = word.lower()
+    if low not in SPECIAL and len(word) > 3 and word.isalpha():
+        return event(True)
     first = NEXT_WORD.match(text, end)[1].lstrip("\"“„«‹「([（¿¡'‘")
     if low in JOINING:
         return event(False)
@@ -208,9 +213,9 @@ def _term(text: str, m: re.Match) -> int | None:
         if low in PLACES and first in ATTACHED:
             return event(False)
         return event(_starts(text, end))
-    if re.fullmatch(r"[^\W\d_](\.[^\W\d_])*", word):
+    if len(word) < 8 and INITIALS.match(word):
         return event(False) if len(word) > 1 or word.isupper() else event(True)
-    if re.fullmatch(r"\d{1,3}", word):
+    if len(word) <= 3 and word.isdigit():
         begin = m.start() - len(word)
         before = text[max(0, begin - 20) : begin]
         if not before.strip() or before.rstrip(" \t").endswith("\n"):
@@ -254,8 +259,7 @@ def events(text: str, lo: int, hi: int) -> list[tuple[int, int, int]]:
             kind = THAI
         if kind is None:
             continue
-        gap = text[at:i]
-        if gap.strip():
+        if i > at and (text[at] not in BLANKS or text[at:i].strip()):
             out.append((TEXT, at, i))
         out.append((kind, i, m.end()))
         at = m.end()
