@@ -28,24 +28,33 @@ def squeeze(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r"^(?U)\s+|(?U)\s+$", ""))
 
 
+def _keyed(turns: DataFrame) -> DataFrame:
+    """The rows of runs with their role and the digest of their text."""
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    return turns.filter(F.col("run_id").isNotNull()).select("run_id", "seq", squeeze(F.coalesce("agent", F.lit(""))).alias("role"), "round", "at", "text", digest.alias("digest"))
+
+
 def messages(turns: DataFrame) -> DataFrame:
     """One row per message: ``run_id, seq, role, round, at, text``; redelivered ones taken once.
 
     A message is the same if run, seq, text and role are. The earliest ``at`` and lowest ``round`` stay.
     """
-    rows = turns.filter(F.col("run_id").isNotNull()).select("run_id", "seq", squeeze(F.coalesce("agent", F.lit(""))).alias("role"), "round", "at", "text")
-    spread = rows.repartition("run_id", "seq")  # both groupings below then need no further exchange
-    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    return spread.withColumn("digest", digest).groupBy("run_id", "seq", "role", "digest").agg(F.min("round").alias("round"), F.min("at").alias("at"), F.max("text").alias("text"))
+    return _keyed(turns).groupBy("run_id", "seq", "role", "digest").agg(F.min("round").alias("round"), F.min("at").alias("at"), F.max("text").alias("text"))
 
 
 def soundness(turns: DataFrame, runs: DataFrame) -> DataFrame:
-    """``run_id, sound, reason`` of every run named in either table; ``reason`` is null for a sound run."""
+    """``run_id, sound, reason`` of every run named in either table; ``reason`` is null for a sound run.
+
+    Texts are reduced to a digest and a mark before anything is shuffled.
+    """
     debater = F.col("role").isin(*DEBATERS)
     text = F.coalesce(F.col("text"), F.lit(""))
-    bad = F.coalesce(debater & (text.rlike(BLANK) | text.rlike(NOTE)), F.lit(False))
+    bad = F.coalesce(debater & (text.rlike(BLANK) | text.rlike(NOTE)), F.lit(False)).cast("int").alias("bad")
+    light = _keyed(turns).select("run_id", "seq", "role", "round", F.unhex("digest").alias("digest"), bad)
+    spread = light.repartition("run_id", "seq")  # both groupings below then need no further exchange
+    said = spread.groupBy("run_id", "seq", "role", "digest").agg(F.min("round").alias("round"), F.max("bad").alias("bad"))
     bit = F.coalesce(*[F.when(F.col("role") == r, F.lit(1 << i)) for i, r in enumerate(DEBATERS)], F.lit(0))
-    by_seq = messages(turns).groupBy("run_id", "seq").agg(F.count("*").alias("copies"), F.max(bad.cast("int")).alias("bad"), F.max("round").alias("round"), F.bit_or(bit).alias("roles"))
+    by_seq = said.groupBy("run_id", "seq").agg(F.count("*").alias("copies"), F.max("bad").alias("bad"), F.max("round").alias("round"), F.bit_or(bit).alias("roles"))
     by_round = by_seq.groupBy("run_id", "round").agg(
         F.count("*").alias("n"), F.count("seq").alias("n_seq"), F.min("seq").alias("lo"), F.max("seq").alias("hi"), F.max("copies").alias("copies"), F.max("bad").alias("bad"), F.bit_or("roles").alias("roles")
     )
