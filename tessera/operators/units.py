@@ -237,17 +237,19 @@ def amounts(values: DataFrame, value: str, label: str, heading: str, conv: DataF
     ``heading`` gives the unit of a number that has none; a bare staff number (by ``label``) is persons.
     """
     v = F.trim(F.regexp_replace(F.regexp_replace(F.col(value), rf"{SPACE}*\[source:[^\]]*\]{SPACE}*$", ""), rf"^{SPACE}+|{SPACE}+$", ""))
-    body = F.regexp_replace(F.regexp_replace(v, r"^([^\d(]*)\((.*)\)$", "$1$2"), r"^([^\d+\-−–]*)[+\-−–](?=[^\d]*\d)", "$1")
-    negative = v.rlike(r"^[^\d(]*\(.*\)$") | v.rlike(r"^[^\d+\-−–]*[\-−–][^\d]*\d")
+    w = F.col("_v")
+    body = F.regexp_replace(F.regexp_replace(w, r"^([^\d(]*)\((.*)\)$", "$1$2"), r"^([^\d+\-−–]*)[+\-−–](?=[^\d]*\d)", "$1")
+    negative = w.rlike(r"^[^\d(]*\(.*\)$") | w.rlike(r"^[^\d+\-−–]*[\-−–][^\d]*\d")
     shape = rf"^([^\d]*?){SPACE}*({NUMBER}){SPACE}*(.*)$"
     squeeze = lambda c: F.lower(F.trim(F.regexp_replace(c, rf"{SPACE}+", " ")))
     code = F.lower(F.regexp_extract(F.col(heading), r"\b(USD|EUR|GBP|JPY|TWD|INR|CHF|KRW)\b", 1))
     scale = F.lower(F.regexp_extract(F.col(heading), r"(?i)\b(thousand|million|billion|trillion)s?\b", 1))
-    got = (
-        values.withColumns({"_body": body, "_neg": negative})
-        .withColumns({"_pre": squeeze(F.regexp_extract("_body", shape, 1)), "_num": F.regexp_extract("_body", shape, 2), "_suf": squeeze(F.regexp_extract("_body", shape, 3))})
-        .filter(F.col("_num") != "")
-    )
+    # What is parsed is exploded from an array of one, as the optimizer would repeat it for every filter above.
+    once = lambda *cols: F.explode(F.array(F.struct(*cols)))
+    step = values.withColumn("_v", v).withColumn("_b", once(body.alias("body"), negative.alias("neg"))).drop("_v")
+    part = lambda i: F.regexp_extract("_b.body", shape, i)
+    step = step.withColumn("_s", once(squeeze(part(1)).alias("pre"), part(2).alias("num"), squeeze(part(3)).alias("suf"), F.col("_b.neg").alias("neg"))).drop("_b")
+    got = step.filter(F.col("_s.num") != "").withColumns({f"_{c}": F.col("_s")[c] for c in ("pre", "num", "suf", "neg")}).drop("_s")
     bare = F.col("_pre") == ""
     staff = F.coalesce(F.col(label).rlike(STAFF_LABEL), F.lit(False))
     key = (
