@@ -39,6 +39,7 @@ COMMON = frozenset(
 CJK_COMMON = "的了是在和与及吗但并于过はがをにのでともした"
 CODE_WORDS = frozenset("def return import const let var function class static struct include func package void public private elif endif SELECT FROM WHERE INSERT CREATE impl fn #include".split())
 LEAD = re.compile(r"\s*(?:[-*•+]\s|\d{1,3}[.)]\s|#|//|/\*|\*|\||<|@|%|;|--|\"\"\"|'''|REM )")
+MARKS = frozenset(" \t-*•+–0123456789")
 CALL = re.compile(r"\w\(\w*[,)=]|\)\s*[:{]\Z|\w\[")
 LISTED = re.compile(r"[ \t]*(?:[-*•+–]\s|\d{1,3}[.)]\s)")
 
@@ -75,22 +76,22 @@ POINTS = np.array([ord(c) for c in ".!?。！？।؟"], np.uint32)
 
 def _prose_line(line: str, thai: bool, cjk: bool) -> bool:
     """Whether a line looks like a part of running text; ``thai`` and ``cjk`` tell whether its text has such letters."""
-    if LEAD.match(line):
-        return False
-    if thai and len(line) > 20 and sum(1 for ch in line if "\u0e00" <= ch <= "\u0e7f") > 0.6 * len(line):
+    if thai and len(line) > 20 and not LEAD.match(line) and sum(1 for ch in line if "\u0e00" <= ch <= "\u0e7f") > 0.6 * len(line):
         return True
     if cjk:
         n_cjk = sum(1 for ch in line if "\u3040" <= ch <= "\u9fff")
         if n_cjk > 0.4 * len(line):
-            return n_cjk >= 8 and sum(map(line.count, CJK_COMMON)) >= 0.05 * n_cjk and "|" not in line
-    low = line.lower().split()
-    if len(low) < 4:
+            return not LEAD.match(line) and n_cjk >= 8 and sum(map(line.count, CJK_COMMON)) >= 0.05 * n_cjk and "|" not in line
+    if line.count(" ") < 3 and len(line.split()) < 4:
         return False
+    low = line.lower().split()
     common = sum(map(COMMON.__contains__, low))
     if common < max(1, 0.12 * len(low)):
         return False
+    if LEAD.match(line):
+        return False
     bare = line.strip()
-    if CALL.search(bare):
+    if "(" in bare and CALL.search(bare) or "[" in bare and CALL.search(bare):
         return False
     return "    " not in bare and "\t" not in bare and sum(map(line.count, "{}=<>_\\|;[]")) <= 0.02 * len(line) + 1
 
@@ -122,9 +123,10 @@ def features(text: str | None) -> list[float]:
     n_full = len(full)
     tails = [x.rstrip()[-1] for x in full]
     ended = sum(map(".!?。！？।؟…\"”»」:".__contains__, tails))
-    bullets = sum(1 for x in full if LISTED.match(x))
+    bullets = sum(1 for x in full if x[0] in MARKS and LISTED.match(x))
     lengths = np.array([len(x) for x in full], float)
-    indents = np.array([len(x) - len(x.lstrip(" \t")) for x in full], float)
+    indented = sum(1 for x in full if x[0] in " \t")
+    indents = np.array([len(x) - len(x.lstrip(" \t")) for x in full], float) if indented else np.zeros(n_full)
     prose = sum(len(x) for x in full if _prose_line(x, thai, cjk)) / max(1.0, float(lengths.sum()))
     # items of a list that has no bullets: short lines of few words without an end
     listing = sum(1 for x, e in zip(full, tails, strict=True) if len(x) < 60 and e not in ".!?,:;{}" and len(x.split(None, 8)) <= 7) / n_full
@@ -132,25 +134,29 @@ def features(text: str | None) -> list[float]:
     alignment = 0.0
     if n_full >= 3:
         for d in (",", ";", "\t", "|", "   "):
+            if text.count(d) < 0.7 * n_full:
+                continue
             counts = np.fromiter((x.count(d) for x in full), int, n_full)
             some = counts[counts > 0]
             if len(some) >= 3 and len(some) >= 0.7 * n_full:
                 mode = np.bincount(np.minimum(some, 999)).argmax()
                 alignment = max(alignment, float(np.count_nonzero(counts == mode)) / n_full * min(1.0, mode / 2))
 
-    def auto(x: np.ndarray, lag: int) -> float:
-        if len(x) <= lag + 2 or x.std() == 0:
+    def auto(x: np.ndarray, lags: int) -> float:
+        """The greatest autocorrelation over lags up to ``lags``."""
+        y = x - x.sum() / len(x)
+        power = float(y @ y)
+        if power <= 1e-12:
             return 0.0
-        y = x - x.mean()
-        return float((y[lag:] * y[:-lag]).sum() / (y * y).sum())
+        return max((float(y[k:] @ y[:-k]) / power for k in range(1, min(lags, len(y) - 3) + 1)), default=0.0)
 
-    period = max((auto(indents, k) for k in range(1, 9)), default=0.0)
+    period = auto(indents, 8) if indented else 0.0
     sample = text.encode("utf-8", "surrogatepass")
     squeezed = len(zlib.compress(sample, 1)) / len(sample)
     ends = int(np.count_nonzero(((b[1:] & 1) > 0) & np.isin(cp[:-1], POINTS))) + int(np.count_nonzero(np.isin(cp, POINTS[3:])))
     return [
         float(n), float(n_words), float(len(lines)), sum(map(len, words)) / n_words, (n - space - letter - digit) / ink, code / ink, digit / ink, upper / max(1, letter), ended / n_full, common / n_words, len(set(low)) / n_words,
-        float(lengths.mean()), bullets / n_full, 1 - n_full / len(lines), float(np.count_nonzero(indents)) / n_full, alignment, period, auto(lengths, 1), float(lengths.std() / lengths.mean()),
+        float(lengths.mean()), bullets / n_full, 1 - n_full / len(lines), indented / n_full, alignment, period, auto(lengths, 1), float(lengths.std() / lengths.mean()),
         keywords / n_words, names / n_words, odd / ink, squeezed, prose, ends / (n / 100), listing,
     ]
 
