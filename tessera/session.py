@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -26,8 +29,33 @@ def build_session(app: str = "tessera", master: str | None = None, **conf: str)
     return b.getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, so that Arrow functions find it wherever they run.
+
+    The archive is handed to Spark, which serves it to executors, those started later included; executors never
+    read the driver's folder.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    if root.is_dir():  # not when this code itself comes out of such an archive
+        files = sorted(root.rglob("*.py"))
+        digest = hashlib.md5(b"".join(f.read_bytes() for f in files)).hexdigest()
+        archive = Path(tempfile.mkdtemp(prefix="tessera-code-")) / f"tessera-{digest}.zip"
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in files:
+                z.write(f, Path(root.name) / f.relative_to(root))
+        sc.addPyFile(str(archive))
+    _shipped.add(sc.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table as a lazy parquet scan (column pruning and filters reach the scan)."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

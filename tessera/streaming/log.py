@@ -15,11 +15,14 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tessera.session import ship
+
 STATE = "run_id bigint, events bigint, last_seq int, last_event string, verdicts bigint"
 
 
 def source(spark: SparkSession, path: str) -> DataFrame:
     """A table's files as a stream, with the schema they have; the table is a folder of files or one file."""
+    ship(spark)
     reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 64)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
