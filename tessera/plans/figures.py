@@ -80,7 +80,7 @@ _ROWS = [(0, "Docks", "Revenue", ["$1,200", "$1,000", "$2,300", "$2,000"], [1200
 def _expected() -> str:
     q = lambda x: "NULL" if x is None else f"'{x}'"
     rows = [f"({t}, '{label}', {q(g)}, '{h}', '{v}', {float(a)}, {q('thousands' if t == 0 else None)})" for t, label, g, vs, xs in _ROWS for h, v, a in zip(_T, vs, xs, strict=True)]
-    return "SELECT * FROM (VALUES " + ", ".join(rows) + ") t(tbl, label, grp, heading, value, amount, units)"
+    return "SELECT tbl, label, grp, heading, value, CAST(amount AS DOUBLE) AS amount, units FROM (VALUES " + ", ".join(rows) + ") t(tbl, label, grp, heading, value, amount, units)"
 
 
 STOPS = "['the', 'a', 'an', 'of', 'and', 'in', 'to', 'for', 'on', 'at', 'by', 'with', 'as', 'is', 'was', 'were', 'are', 'it', 'its', 'that', 'this', 'or', 'from', 'be']"

@@ -234,7 +234,7 @@ SELECT key, claim_value, round(arg_min(implied, abs(implied - claim_value)), 3)
 SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'upside' ELSE 'downside' END AS side, round((p_size * p_retailprice / 25 / p_retailprice - 1) * 100, 4) AS gap_pct FROM part)""",
         "period_classes": f"SELECT heading, {sql_period('heading')} AS period FROM {_values(HEADINGS, 'heading')}",
         "evidence_periods": f"WITH {LINES} SELECT {sql_period('label')} AS period, count(*) AS n_lines, count(DISTINCT run_id) AS n_runs FROM lines GROUP BY 1",
-        "worded_bands": "SELECT * FROM (VALUES ('low-thirties', 30.0, 33.0), ('mid-to-high twenties', 24.0, 29.0), ('high-single-digit', 7.0, 9.0), ('33% to 34%', 33.0, 34.0), ('flat', 0.0, 0.0), ('low single digit', 1.0, 3.0)) t(text, lo, hi)",
+        "worded_bands": "SELECT text, CAST(lo AS DOUBLE) AS lo, CAST(hi AS DOUBLE) AS hi FROM (VALUES ('low-thirties', 30.0, 33.0), ('mid-to-high twenties', 24.0, 29.0), ('high-single-digit', 7.0, 9.0), ('33% to 34%', 33.0, 34.0), ('flat', 0.0, 0.0), ('low single digit', 1.0, 3.0)) t(text, lo, hi)",
         "number_spellings": """SELECT * FROM (VALUES ('$9B', '$9B'), ('$9B', '$9 billion'), ('$9B', '9 billion'), ('$9B', '9,000,000,000'), ('4.74 trillion', '4.74 trillion'), ('4.74 trillion', '$4.74T'), ('4.74 trillion', '$4.74 trillion'),
 ('4.74 trillion', '4,740,000,000,000'), ('52%', '52%'), ('12.5 million', '12.5 million'), ('12.5 million', '$12.5M'), ('12.5 million', '$12.5 million'), ('12.5 million', '12,500,000')) t(raw, spelling)""",
         "corroborate_verbatim": r"""WITH c AS (SELECT DISTINCT run_id, unnest(regexp_extract_all(text, '(\d+(?:\.\d+)?)\s?%', 1)) AS number FROM turns WHERE text IS NOT NULL),

@@ -150,7 +150,7 @@ j AS (SELECT run_id, kind, CASE WHEN json_valid(data) THEN data END AS data FROM
 SELECT run_id, count(*) AS events, count(*) FILTER (kind = 'bull') AS bulls, count(*) FILTER (kind = 'judge') AS judges, max(TRY_CAST(data ->> '$.round' AS BIGINT)) FILTER (kind = 'route') AS rounds,
 max(TRY_CAST(data ->> '$.usage.input' AS BIGINT)) FILTER (kind = 'done') AS input_tokens, max(TRY_CAST(data ->> '$.usage.output' AS BIGINT)) FILTER (kind = 'done') AS output_tokens,
 max(data ->> '$.model') FILTER (kind = 'start') AS model, max(CASE WHEN kind = 'error' THEN 1 ELSE 0 END) AS failed FROM j WHERE run_id IS NOT NULL GROUP BY run_id""",
-        "run_turns_join": "WITH t AS (SELECT run_id, count(*) AS turns, sum(length(text)) AS chars, max(seq) AS last_seq FROM (SELECT DISTINCT id, run_id, seq, text FROM turns) GROUP BY run_id) SELECT r.run_id, status, turns, chars, last_seq FROM (SELECT DISTINCT id AS run_id, status FROM runs) r JOIN t ON t.run_id = r.run_id",
+        "run_turns_join": "WITH t AS (SELECT run_id, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS chars, max(seq) AS last_seq FROM (SELECT DISTINCT id, run_id, seq, text FROM turns) GROUP BY run_id) SELECT r.run_id, status, turns, chars, last_seq FROM (SELECT DISTINCT id AS run_id, status FROM runs) r JOIN t ON t.run_id = r.run_id",
         "run_list_filter_sort": f"SELECT DISTINCT {COLS} FROM runs WHERE starts_with(upper(trim(ticker)), 'Z')",
         "run_lookup_prefix": "SELECT month, arg_min(id, {'a': started_at, 'b': id}) AS first_run FROM (SELECT DISTINCT id, strftime(started_at, '%Y-%m') AS month, started_at FROM runs WHERE started_at IS NOT NULL) GROUP BY month",
         "archive_chips": "SELECT ticker, review, count(*) AS runs, count(DISTINCT id) AS ids FROM (SELECT DISTINCT id, upper(trim(ticker)) AS ticker, coalesce(review_status, 'none') AS review FROM runs) GROUP BY ROLLUP (ticker, review)",
