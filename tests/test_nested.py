@@ -78,3 +78,56 @@ def test_disagreeing_records_hide_nothing(spark):
 
 def test_schema_paths():
     assert list(_walk("OBJECT<a: ARRAY<OBJECT<x: STRING>>, `b c`: OBJECT<d: DECIMAL(3,1)>>")) == [("a", "ARRAY<OBJECT<x: STRING>>"), ("b c", "OBJECT"), ("b c.d", "DECIMAL(3,1)")]
+
+
+def test_brute_force_on_the_smallest_tables(spark, sf):
+    import re
+
+    from tessera.session import table
+
+    def decoded(v):
+        while isinstance(v, str) and re.match(r'\s*[\[{"]', v):
+            try:
+                v = json.loads(v)
+            except ValueError:
+                break
+        return v
+
+    def items(v, scalar):
+        v = decoded(v)
+        if isinstance(v, dict) and (scalar or all(x is None or isinstance(x, dict) for x in v.values())):
+            return [v[k] for k in sorted(v)]
+        return v if isinstance(v, list) else [] if v is None else [v]
+
+    want = set()
+    for r in table(spark, sf, "run_events").select("event_id", "event", "data").collect():
+        v = decoded(re.sub(r"^\s*```\w*\s*|\s*```\s*$", "", r.data or ""))
+        if not isinstance(v, dict):
+            continue
+        for name in ("update", "reply", "decision"):
+            v = v[name] if isinstance(v.get(name), dict) else v
+
+        def family(held, entity, child_entity=None, child=None, scalar=False, key=r.event_id):
+            for i, x in enumerate(items(held, scalar), 1):
+                if x is not None:
+                    want.add((key, entity, i, 0))
+                    if child and isinstance(x, dict):
+                        want.update((key, child_entity, i, j) for j, c in enumerate(items(x.get(child), True), 1) if c is not None)
+
+        if r.event == "planner":
+            family(v["plan"].get("key_questions"), "plan_question", "plan_kpi", "kpis")
+        elif r.event == "judge":
+            family(v.get("questions"), "question", "question_claim", "unsupported_claims")
+            family(v.get("unsupported_claims"), "judge_claim", scalar=True)
+            if str(v.get("converged")).strip().lower() in ("true", "yes", "1"):
+                want.add((r.event_id, "converged", 0, 0))
+        elif r.event == "news_verify":
+            family(v.get("claim_reviews"), "claim_review", "review_source", "sources")
+        elif r.event == "review":
+            family(v["report"].get("resolutions"), "resolution", "anchor", "anchors")
+        if r.event in ("judge", "review"):
+            text = v.get("verdict")
+            text = text.get("text") if isinstance(text, dict) else text
+            if text and text.strip():
+                want.add((r.event_id, "verdict", 0, 0))
+    assert want and {tuple(r) for r in event_tables(table(spark, sf, "run_events")).found().collect()} == want
