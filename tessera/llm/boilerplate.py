@@ -52,10 +52,15 @@ def occurrences(sections: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def repeated_lines(lines: DataFrame, sections: DataFrame, runs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
-    """The nodes of high support: ``source, key, n_docs``. Sections without lines count among a source's too."""
+    """The nodes of high support: ``source, key, n_docs``."""
+    seen = lines.select("source", "key", "section_id").distinct().groupBy("source", "key").agg(F.count("*").alias("n_docs"))
+    return supported(seen, sections, runs, min_docs, min_share).select("source", "key", "n_docs")
+
+
+def supported(seen: DataFrame, sections: DataFrame, runs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
+    """Rows whose ``n_docs`` is high for their source. Sections without lines count among a source's too."""
     totals = sections.select("section_id", "run_id").distinct().join(sources(runs), "run_id").groupBy("source").agg(F.count_distinct("section_id").alias("total"))
-    seen = lines.select("source", "key", "section_id").distinct().groupBy("source", "key").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") >= min_docs)
-    return seen.join(totals, "source").filter(F.col("n_docs") / F.col("total") >= F.lit(min_share)).select("source", "key", "n_docs")
+    return seen.filter(F.col("n_docs") >= min_docs).join(totals, "source").filter(F.col("n_docs") / F.col("total") >= F.lit(min_share)).drop("total")
 
 
 def marked(lines: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -73,14 +78,14 @@ def found(sections: DataFrame, runs: DataFrame) -> DataFrame:
 def blocks(sections: DataFrame, runs: DataFrame) -> DataFrame:
     """The boilerplate blocks: ``source, block, key, n_docs``; a block is named by its least line digest.
 
-    An edge is kept if it stands in as many documents as a node needs.
+    An edge is kept if it stands in as many documents, and in as large a share of its source's, as a node needs.
     """
     lines = occurrences(sections, runs)
     nodes = cut(repeated_lines(lines, sections, runs).withColumn("key", F.lower(F.hex("key"))))
     here = marked(lines.withColumn("key", F.lower(F.hex("key"))), nodes).distinct()
     after = here.select("source", "section_id", (F.col("line_no") - 1).alias("line_no"), F.col("key").alias("key2"))
     pairs = here.join(after, ["source", "section_id", "line_no"]).filter(F.col("key") != F.col("key2")).select("source", "key", "key2", "section_id").distinct()
-    edges = pairs.groupBy("source", "key", "key2").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_DOCS)
+    edges = supported(pairs.groupBy("source", "key", "key2").agg(F.count("*").alias("n_docs")), sections, runs)
     name = lambda k: F.concat_ws(" ", "source", k)
     comps = components(edges.select(name("key").alias("a"), name("key2").alias("b")))
     named = nodes.withColumn("node", name("key")).join(comps, "node", "left")

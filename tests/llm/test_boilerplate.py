@@ -53,6 +53,16 @@ def test_blocks_join_consecutive_lines(spark):
     assert len(prints) == 2 and len({x.block for x in prints}) == 1 and len(got) == 3 and share
 
 
+def test_blocks_stay_the_same_when_the_input_is_replicated(spark):
+    # two blocks of two lines in each text, next to each other in one text of ten only
+    text = lambda i: "Alpha\nBeta\n\nGamma\nDelta" if i % 10 else "Alpha\nBeta\nGamma\nDelta"
+    got = []
+    for times in (1, 6):
+        s, runs = frames(spark, [(i, 1, text(i)) for i in range(10 * times)])
+        got.append(sorted((x.source, x.block, x.key, x.n_docs // times) for x in B.blocks(s, runs).collect()))
+    assert got[0] == got[1] and len(got[0]) == 4 and len({block for _, block, _, _ in got[0]}) == 2
+
+
 def test_cleaned(spark):
     s, runs = frames(spark, rows())
     got = {x.section_id: (x.text, x.removed) for x in B.cleaned(s, runs).collect()}
