@@ -13,12 +13,12 @@ def _stream(s: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def stream_deduplicated(s: SparkSession, d: str) -> DataFrame:
-    return L.drain(L.deduplicated(_stream(s, d, "turns")))
+    return L.drain(L.deduplicated(_stream(s, d, "turns"), delay=None))
 
 
 def stream_hourly(s: SparkSession, d: str) -> DataFrame:
-    """Windows that the watermark has closed, plus those still open, from the update stream."""
-    return L.drain_updates(L.hourly(_stream(s, d, "events")), ["start", "event_type"], "n")
+    """The last count of every window, from the update stream."""
+    return L.drain_updates(L.hourly(_stream(s, d, "events"), delay=None), ["start", "event_type"], "n")
 
 
 def stream_run_state(s: SparkSession, d: str) -> DataFrame:

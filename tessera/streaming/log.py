@@ -1,8 +1,10 @@
 """The event log as streams: deduplication, rolling stores, sessions, replay and a fold of run state.
 
 A stream is drained by one available-now run into a folder that all executors share, so a query over it gives
-the same rows as the batch form; a service would leave it running. Late rows within the watermark count, later
-ones are dropped by Spark's rules. Undated rows take no part where event time decides.
+the same rows as the batch form, however the table is laid out in files and batches: nothing drained has a
+watermark, so no row is too late, and state keeps each key until the run ends. A service would leave the stream
+running and name a delay; late rows within it count, later ones are dropped by Spark's rules. Undated rows take
+no part where event time decides.
 """
 
 from __future__ import annotations
@@ -59,15 +61,19 @@ def drain_updates(stream: DataFrame, keys: list[str], version: str) -> DataFrame
     return got.groupBy(*keys).agg(F.max_by(F.struct(*rest), version).alias("x")).select(*keys, *[F.col("x")[c].alias(c) for c in rest])
 
 
-def deduplicated(turns: DataFrame, delay: str = "30 days") -> DataFrame:
-    """Messages once: redelivered rows of the same run, seq and text within the delay go."""
+def deduplicated(turns: DataFrame, delay: str | None = "30 days") -> DataFrame:
+    """Messages once: redelivered rows of the same run, seq and text within the delay go, all of them if there is none."""
     t = turns.filter("ingested_at is not null and run_id is not null").withColumn("ingested", F.col("ingested_at").cast("timestamp"))
-    return t.select("run_id", "seq", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), "ingested").withWatermark("ingested", delay).dropDuplicatesWithinWatermark(["run_id", "seq", "digest"]).select("run_id", "seq", "digest")
+    t = t.select("run_id", "seq", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), "ingested")
+    keys = ["run_id", "seq", "digest"]
+    once = t.select(*keys).dropDuplicates(keys) if delay is None else t.withWatermark("ingested", delay).dropDuplicatesWithinWatermark(keys)
+    return once.select(*keys)
 
 
-def hourly(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Counts of one-hour windows of event time and kind."""
-    e = events.filter("ts is not null").withColumn("t", F.col("ts").cast("timestamp")).withWatermark("t", delay)
+def hourly(events: DataFrame, delay: str | None = "10 minutes") -> DataFrame:
+    """Counts of one-hour windows of event time and kind; without a delay no event is too late."""
+    e = events.filter("ts is not null").withColumn("t", F.col("ts").cast("timestamp"))
+    e = e if delay is None else e.withWatermark("t", delay)
     return e.groupBy(F.window("t", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
