@@ -3,7 +3,8 @@
 Sizes lie between 1 and the capacity, so their histogram is bounded whatever the number of items, and the plan
 is made on it: from the largest size down, the gap left by an item is filled exactly by one, two or three
 sizes whose sums are indexed (bit sets of single and pair sums, availability counts), in bulk; where no exact
-complement is left, the best-fitting size goes in and the rest of the gap is tried again. A plan row is a
+complement is left, the best-fitting size goes in and the rest of the gap is tried again. All triples are looked
+at; a plan that gives up on them sooner is kept where it needs fewer containers. A plan row is a
 pattern of sizes and how many containers follow it. Items get a rank within their size by a two-level count
 and meet their place in the plan by a join on the size; only items above the capacity are split.
 
@@ -22,6 +23,8 @@ from .tokens import VOCABULARY, with_tokens
 #: Items that one rank bucket of a size holds about; rows a plan may have. A pattern has at most 64 distinct sizes
 #: (their sum is bounded by the capacity) and each pattern uses up a size, so plans stay far below.
 BUCKET_ITEMS, MAX_PLAN = 200_000, 2_000_000
+#: Largest first sizes of a triple that the second plan looks at.
+NEAR = 64
 
 
 def capacity(size_limits: DataFrame) -> int:
@@ -32,25 +35,37 @@ def capacity(size_limits: DataFrame) -> int:
 
 
 def plan(counts: dict[int, int], cap: int) -> list[tuple[list[int], int]]:
-    """(sizes, number of containers) of every pattern; all items are used, none is split."""
+    """(sizes, number of containers) of every pattern; all items are used, none is split.
+
+    Taking every exact triple may use up small sizes that later containers need, so a second plan, which turns to
+    best fit after ``NEAR`` first sizes of a triple, is made too, and the one of fewer containers is taken.
+    """
+    return min((_plan(counts, cap, cap), _plan(counts, cap, NEAR)), key=lambda rows: sum(times for _, times in rows))
+
+
+def _plan(counts: dict[int, int], cap: int, firsts: int) -> list[tuple[list[int], int]]:
     left = [0] * (cap + 1)
     for s, n in counts.items():
         if not 0 < s <= cap:
             raise ValueError(f"a size of {s} in a capacity of {cap}")
         left[s] = n
     singles = sum(1 << s for s in range(1, cap + 1) if left[s])
+    mirrored = sum(1 << (cap - s) for s in range(1, cap + 1) if left[s])
     out: list[tuple[list[int], int]] = []
 
     def free(s: int, used: list[int]) -> bool:
         return left[s] > used.count(s)
 
+    def complements(gap: int) -> int:
+        """Bit i: the size gap-i is left."""
+        return mirrored >> (cap - gap)
+
     def exact(gap: int, used: list[int]) -> list[int] | None:
         """One, two or three sizes that fill the gap under the availability counts."""
         if gap <= cap and free(gap, used):
             return [gap]
         low = singles & ((1 << gap) - 1)
-        mirrored = int(format(low, f"0{gap}b")[::-1], 2) if low else 0  # bit i of it: size gap-1-i
-        pairs = low & (mirrored << 1)
+        pairs = low & complements(gap)
         while pairs:  # the larger of two sizes, from the largest
             a = pairs.bit_length() - 1
             if a * 2 < gap:
@@ -59,22 +74,21 @@ def plan(counts: dict[int, int], cap: int) -> list[tuple[list[int], int]]:
                 return [a, gap - a]
             pairs ^= 1 << a
         rest, tries = low, 0
-        while rest and tries < 64:
+        while rest and tries < firsts:  # the largest of three sizes, down to a third of the gap
             a = rest.bit_length() - 1
             rest ^= 1 << a
             tries += 1
             if a * 3 < gap:
                 break
             g = gap - a
-            under = singles & ((1 << g) - 1)
-            if not under or not free(a, used):
+            two = singles & complements(g) & ((1 << min(g, a + 1)) - 1)
+            if not two or not free(a, used):
                 continue
-            two = under & (int(format(under, f"0{g}b")[::-1], 2) << 1)
             while two:
                 b = two.bit_length() - 1
                 if b * 2 < g:
                     break
-                if b <= a and free(b, [*used, a]) and free(g - b, [*used, a, b]):
+                if free(b, [*used, a]) and free(g - b, [*used, a, b]):
                     return [a, b, g - b]
                 two ^= 1 << b
         return None
@@ -104,6 +118,7 @@ def plan(counts: dict[int, int], cap: int) -> list[tuple[list[int], int]]:
             left[x] -= times * pattern.count(x)
             if not left[x]:
                 singles &= ~(1 << x)
+                mirrored &= ~(1 << (cap - x))
         out.append((pattern, times))
     return out
 

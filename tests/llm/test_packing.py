@@ -32,6 +32,17 @@ def test_exact_complements_first():
         P.plan({11: 1}, 10)
 
 
+def test_three_sizes_are_found_below_many_that_are_in_none():
+    # 161, 170 and 152 fill what 517 leaves; more than 64 larger sizes fit there too
+    counts = {517: 50, **dict.fromkeys(range(275, 379), 1), 161: 50, 170: 50, 152: 50}
+    got = P.plan(counts, 1000)
+    used = Counter()
+    for pattern, times in got:
+        for s in pattern:
+            used[s] += times
+    assert used == Counter(counts) and sum(times for _, times in got) == 85
+
+
 def limits(spark, cap):
     return spark.createDataFrame([("container", None, "tokens", cap, 0), ("section", "*", "chars", 5, 0)], "item_kind string, form string, unit string, max_size int, overlap int")
 
