@@ -51,12 +51,6 @@ def size(text: Column, unit: Column) -> Column:
     return F.when(unit == "bytes", F.octet_length(text)).otherwise(F.char_length(text))
 
 
-def oversized(sections: DataFrame, size_limits: DataFrame) -> DataFrame:
-    """The sections larger than their limit, each once."""
-    lim = with_limits(sections.select("section_id", "form", "text"), size_limits)
-    return lim.filter(size(F.col("text"), F.col("unit")) > F.col("max_size")).select("section_id").distinct()
-
-
 def split_text(text: str, max_size: int, overlap: int, in_bytes: bool) -> Iterator[tuple[int, int, int]]:
     """(begin, start, end) of each piece: its text is ``text[begin:end]``, its own part ``text[start:end]``."""
     if in_bytes:
@@ -87,7 +81,7 @@ def split_text(text: str, max_size: int, overlap: int, in_bytes: bool) -> Iterat
                     while end < hi and at(end + 1) - at(lo) <= budget:
                         end += 1
                 else:
-                    end = min(hi, lo + budget)
+                    end = min(hi, lo + max(1, budget))
                 back = end
                 while back < hi and back > lo + 1 and unicodedata.category(text[back]) in ("Mn", "Mc", "Me"):
                     back -= 1
@@ -121,6 +115,27 @@ def split_text(text: str, max_size: int, overlap: int, in_bytes: bool) -> Iterat
     yield begin, start, end
 
 
+def _spans(text: str, unit: str | None, most: float | None, overlap: float | None) -> Iterator[tuple[int, int, int]]:
+    """``split_text`` under the limit of a row, which may have none."""
+    most = len(text) * 4 if most is None or pd.isna(most) else int(most)
+    return split_text(text, most, 0 if overlap is None or pd.isna(overlap) else int(overlap), unit == "bytes")
+
+
+def oversized(sections: DataFrame, size_limits: DataFrame) -> DataFrame:
+    """The sections larger than their limit, each once: those that are split, and those of one piece that is too large."""
+    lim = with_limits(sections.select("section_id", "form", "text"), size_limits)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            n = [sum(1 for _ in _spans(*row)) for row in zip(b.text, b.unit, b.max_size, b.overlap, strict=True)]
+            yield pd.DataFrame({"section_id": b.section_id, "n_pieces": n, "too_large": b.too_large})
+
+    large = size(F.col("text"), F.col("unit")) > F.col("max_size")
+    rows = lim.filter(F.col("text") != "").withColumn("too_large", F.coalesce(large, F.lit(False)))
+    split = rows.mapInPandas(run, "section_id bigint, n_pieces int, too_large boolean")
+    return split.filter("n_pieces > 1 or too_large").select("section_id").distinct()
+
+
 def pieces(sections: DataFrame, size_limits: DataFrame) -> DataFrame:
     """``section_id, piece_no, begin_pos, start_pos, end_pos, text``; positions are offsets in characters."""
     lim = with_limits(sections.select("section_id", "form", "text"), size_limits)
@@ -130,8 +145,7 @@ def pieces(sections: DataFrame, size_limits: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for sid, text, unit, most, overlap in zip(b.section_id, b.text, b.unit, b.max_size, b.overlap, strict=True):
-                most = len(text) * 4 if most is None or pd.isna(most) else int(most)
-                got = split_text(text, most, 0 if overlap is None or pd.isna(overlap) else int(overlap), unit == "bytes")
+                got = _spans(text, unit, most, overlap)
                 out += [(sid, k, begin, start, end, text[begin:end]) for k, (begin, start, end) in enumerate(got, 1)]
             yield pd.DataFrame(out, columns=["section_id", "piece_no", "begin_pos", "start_pos", "end_pos", "text"])
 

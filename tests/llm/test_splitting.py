@@ -46,6 +46,14 @@ def test_found(spark, limits):
     assert not {r.section_id for r in p} & {7, 8}
 
 
+def test_found_comes_from_the_splitter(spark, limits):
+    rows = sections(spark, [(1, "10-K", "x" * 41), (2, "10-K", "x" * 40)])
+    assert "MapInPandas" in S.oversized(rows, limits)._jdf.queryExecution().executedPlan().toString()
+    tight = spark.createDataFrame([("section", "*", "bytes", 1, 0), ("section", "none", "chars", 0, 0)], limits.schema)
+    # a character above its limit is one piece, and too large; a limit of 0 holds no text
+    assert sorted(r.section_id for r in S.oversized(sections(spark, [(1, "a", "é"), (2, "a", "e"), (3, "none", "ee"), (4, "none", "")]), tight).collect()) == [1, 3]
+
+
 def test_empty(spark, limits):
     assert S.oversized(sections(spark, []), limits).count() == 0 and S.pieces(sections(spark, []), limits).count() == 0
     none = limits.filter("item_kind = 'none'")
