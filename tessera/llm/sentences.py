@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-CHUNK = 200_000
+CHUNK = 10_000
 MARGIN = 80
 
 # Abbreviations by what may follow them.

@@ -79,3 +79,12 @@ def test_spread_over_chunks(spark):
     assert S.sentences(df.filter("section_id = 99")).count() == 0
     units = S.sentence_units(df.filter("section_id = 4")).orderBy("no").collect()
     assert [(u.sentence, u.start_pos) for u in units] == [("One.", 0), ("Two.", 5)]
+
+
+def test_long_sections_of_the_tables_are_read_in_chunks(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/sections.parquet").select("section_id", "text").distinct()
+    texts = {r.section_id: r.text for r in df.filter(f"char_length(text) > {S.CHUNK}").collect()}
+    got = {}
+    for r in S.sentences(df.filter(df.section_id.isin(list(texts)))).collect():
+        got.setdefault(r.section_id, []).append(r.end_pos)
+    assert len(texts) >= 3 and {i: sorted(v) for i, v in got.items()} == {i: e for i, t in texts.items() if (e := S.sentence_ends(t))}
