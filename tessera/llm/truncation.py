@@ -45,6 +45,7 @@ FINAL = ".!?。！？｡।॥؟"
 MARKER = re.compile(r"(?:\.{3}|…)?\s*[\[(（](?:more|truncated|cut(?: off)?|continued|cont\.?|snip|clipped|\.\.\.|…)[\])）]\s*\Z|…\s*\Z|�+\s*\Z", re.I)
 NOTE = re.compile(r"\s*\[[^\[\]]*\]\s*\Z")
 BULLET = re.compile(r"\s*(?:[-•*–·]|\d{1,3}[.)])\s+")
+SEMICOLON = re.compile("[;；؛]")
 FIGURE = re.compile(r"\s*(?:[-•*–·]\s+)?[^:]{1,60}:\s*[^\w\s]{0,3}\s?\d[\d.,]*\s*\S{0,3}\s*\Z")
 LISTED = re.compile(r"\s*([A-Za-z]\w{2,20}):\s*(\S+(?:,\s+\S+)*),?\s*\Z")
 TOKEN = re.compile(r"\S+")
@@ -88,12 +89,18 @@ def _grams(tokens: list[str], at: int) -> list[str]:
 
 
 def _line_key(line: str) -> str:
-    """The end of a list item or heading: its last three words, or its last characters where words aren't spaced."""
+    """The end of a list item or heading: its last three words, or its last characters where words aren't spaced.
+
+    Items that read as clauses (they begin in lower case or hold a semicolon) have keys of their own: that headings
+    end with the same words says nothing about them.
+    """
     s = _shape(line)
+    item = BULLET.sub("", line, count=1)
+    form = "l:; " if item[:1].islower() or SEMICOLON.search(item) else "l:"
     words = s.split(" ")
     if len(words) >= 4 or (s.isascii() and len(words) > 1):
-        return "l:" + " ".join(words[-3:])
-    return "l:" + s[-4:]
+        return form + " ".join(words[-3:])
+    return form + s[-4:]
 
 
 def _balanced(par: str) -> bool:

@@ -54,6 +54,13 @@ def test_evidence_decides_abbreviations_and_items(spark):
     assert {100, 103} <= got and not got & {101, 102}
 
 
+def test_headings_say_nothing_about_items_that_are_clauses(spark):
+    body = [(i, 1, f"All:\n- Notes on the decline in unit volumes\n- margins fell; rents held over the year\n\nEnd {i}.") for i in range(20)]
+    ends = [(100, 1, "All:\n- Risks and the decline in unit volumes"), (101, 1, "All:\n- costs rose on the decline in unit volumes"), (102, 1, "All:\n- Costs rose; rents reshaped the decline in unit volumes"), (103, 1, "All:\n- costs fell; rents held over the year")]
+    got = {r.rec_id for r in build(spark, body + ends).found().collect()}
+    assert {101, 102} <= got and not got & {100, 103}
+
+
 def test_limits_are_found_among_neighbours(spark):
     spread = [(i, 1, "w" * (40 + i % 90) + ". " + "x" * 60 + ".") for i in range(900)]
     at = [(1000 + i, 1, ("The sea was calm and the ship went on to the far land of the north" * 3)[:120]) for i in range(60)]
