@@ -22,10 +22,13 @@ MARKS = [
 ]
 
 
-def period_class(text: Column) -> Column:
-    """quarter, YTD (H1), YTD (9M), annual, ttm, forward, change, ``period ended`` for a bare date, else unstated."""
+def period_class(text: Column, changes: bool = True) -> Column:
+    """quarter, YTD (H1), YTD (9M), annual, ttm, forward, change, ``period ended`` for a bare date, else unstated.
+
+    Without ``changes`` words of growth don't count: a growth rate belongs to the period it is stated for.
+    """
     out = F.when(text.isNull(), F.lit("unstated"))
-    for name, mark in MARKS:
+    for name, mark in MARKS if changes else MARKS[1:]:
         out = out.when(text.rlike(mark), name)
     return out.when(text.rlike(rf"(?i)\b{MONTHS}\b\.?\s+\d{{1,2}},?\s+\d{{4}}|\b\d{{4}}-\d\d-\d\d\b"), "period ended").otherwise("unstated")
 

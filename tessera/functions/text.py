@@ -53,3 +53,27 @@ def url_key(url: Column) -> Column:
     """Host and path of a link, lower case, without ``www.`` and a slash at the end."""
     host = F.regexp_replace(F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://([^/?#]+)", 1)), r"^www\.", "")
     return F.concat(host, F.regexp_replace(F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://[^/?#]+([^?#]*)", 1)), r"/+$", ""))
+
+
+LINES = "array<struct<at:int,section:string,block:string,heading:string,body:string>>"
+
+
+def headed_blocks(text: Column) -> Column:
+    """Parts of a packet, each with the headings it stands under: ``at, section, block, heading, body``.
+
+    A heading is a line that begins with ``[`` (a section) or ``--`` (a block); a part begins at each, ``at`` is the
+    number of lines before it, and ``heading`` its own first line. One fold over the parts of a text, no shuffle.
+    """
+    parts = F.split(text, r"\n(?=[ \t]*(?:\[|--))")
+    none = F.lit(None).cast("string")
+    start = F.struct(F.lit(0).alias("at"), none.alias("section"), F.array().cast(LINES).alias("out"))
+
+    def step(got: Column, part: Column) -> Column:
+        head = F.nullif(F.regexp_extract(part, r"^[ \t]*((?:\[|--)[^\n]*)", 1), F.lit(""))
+        own = head.startswith("[")
+        section = F.when(own, F.regexp_extract(head, r"^\[([^\]|]*?)\s*(?:\|[^\]]*)?\]", 1)).otherwise(got["section"])
+        block = F.when(head.startswith("--"), F.regexp_extract(head, r"^--\s*(.*?)\s*(?:--)?$", 1)).otherwise(F.lit(""))
+        item = F.struct(got["at"].alias("at"), section.alias("section"), block.alias("block"), head.alias("heading"), part.alias("body"))
+        return F.struct((got["at"] + F.regexp_count(part, F.lit("\n")) + 1).alias("at"), section.alias("section"), F.array_append(got["out"], item).alias("out"))
+
+    return F.aggregate(parts, start, step, lambda got: got["out"])

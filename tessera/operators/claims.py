@@ -12,37 +12,39 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.functions import numbers as N, periods as P
-from tessera.functions.text import split_sentences
+from tessera.functions.text import headed_blocks
 
-# Sections written by a model, and line marks of failures, that can't be evidence.
+# Sections written by a model, line marks of failures, label words of percentages, phrases of advice, of
+# disclaimers and of claimed absences, and marks of a failed extraction.
 MODEL_SECTIONS = ["PROFILE", "KEY QUESTIONS", "WHAT WOULD MISLEAD", "COVERAGE GAPS", "DATA GAPS", "EVIDENCE QUALITY"]
-FAILURES = r"could not find:|KPI value not found|COVERAGE GAP|\(limitation:"
-PERCENT_LABEL = r"(?i)%|\bmargin|\brate\b|\bratio\b|\byield\b|\bgrowth\b"
-ADVICE = r"(?i)\b(investors should|position siz\w*|prudent approach|we recommend|you should (?:buy|sell))"
-DISCLAIMER = r"(?i)not (?:investment )?advice"
-ABSENCE = r"(?i)\b(no (?:evidence|data|disclosure)|not (?:disclosed|available|reported)|does not disclose)\b"
+FAILURES = r"(?i)could not find:|KPI value not found|^-?\s*COVERAGE GAP|\(limitation:"
+PERCENT_WORDS = ["%", "percent", "margin", "rate", "ratio", "yield", "growth"]
+ADVICE = ["investors should", "you should", "position siz", "prudent approach", "recommend buying", "recommend selling", "buy the stock", "sell the stock", "add to your", "trim your"]
+DISCLAIMERS = ["not financial advice", "not investment advice", "does not constitute investment advice", "does not constitute financial advice", "for research purposes only", "research, not financial", "educational purposes"]
+WITHHOLD = ["disclose", "provide", "report", "give", "publish", "break out", "quantify"]
+ABSENT = ["not disclosed", "undisclosed", "no guidance", "no disclosure", "no figure", "no metric", "no number", "no such guidance", "no such disclosure", "no such figure", "no such metric", "no such number",
+          "is absent", "absent from", "provides no", "offers no", "gives no", "has no guidance", "has no disclosure"]
+FAILED = ["EXTRACTION FAILURE", "KPI value not found", "could not find:"]
+SPLIT = r"(?<=[.!?])\s+(?=[A-Z0-9$(])"
+ABSENCE = rf"(?i)\b(?:does not|doesn't|did not|do not|never) (?:{'|'.join(WITHHOLD)})|\b(?:{'|'.join(ABSENT)})\b"
+PERCENT_LABEL = rf"(?i)^\s*-\s+(?!\[Q\d)[^:\"“]*(?:{'|'.join(PERCENT_WORDS)})[^:\"“]*:"
+STATED_UNIT = r"(?i)\(?(?:units?:\s*|in\s+)(thousand|million|billion)s\b"
 
 
 def evidence_lines(runs: DataFrame) -> DataFrame:
     """``run_id, ord, section, block, label, value, source_tag, line`` of every data line of the packets.
 
-    Section and block headings are carried forward within the packet they stand in.
+    Section and block headings are carried within the packet by a fold over its parts; repeated rows go after the
+    lines are taken out, so no packet is shuffled as a whole.
     """
-    packets = runs.filter(F.col("evidence").isNotNull()).select(F.col("id").alias("run_id"), "evidence").distinct()
-    rows = packets.withColumn("packet", F.xxhash64("evidence")).select("run_id", "packet", F.posexplode(F.split("evidence", "\n")).alias("pos", "line"))
-    w = Window.partitionBy("run_id", "packet").orderBy("pos")
-    section = F.when(F.col("line").rlike(r"^\["), F.regexp_extract("line", r"^\[([^\]|]*?)\s*(?:\|[^\]]*)?\]", 1))
-    block = F.when(F.col("line").rlike(r"^\["), F.lit("")).when(F.col("line").rlike(r"^--"), F.regexp_extract("line", r"^--\s*(.*?)\s*(?:--)?$", 1))
-    carried = rows.withColumns({"section": F.last(section, ignorenulls=True).over(w), "block": F.last(block, ignorenulls=True).over(w)})
-    parts = r"^- ([^:]*): (.*?)(?:\s+\[source: ([^\]]*)\])?$"
-    data = carried.filter(F.col("line").rlike(r"^- "))
-    return data.select(
-        "run_id", (F.col("pos") + 1).alias("ord"), "section", F.coalesce("block", F.lit("")).alias("block"), F.regexp_extract("line", parts, 1).alias("label"), F.regexp_extract("line", parts, 2).alias("value"),
-        F.nullif(F.regexp_extract("line", parts, 3), F.lit("")).alias("source_tag"), "line",
-    )
+    parts = runs.filter(F.col("evidence").isNotNull()).select(F.col("id").alias("run_id"), F.explode(headed_blocks(F.col("evidence"))).alias("p"))
+    rows = parts.select("run_id", "p.at", "p.section", "p.block", F.posexplode(F.split("p.body", "\n")).alias("pos", "line")).filter(F.col("line").startswith("- "))
+    shape = r"^- ([^:]*): (.*?)(?:\s+\[source: ([^\]]*)\])?$"
+    part = lambda i: F.regexp_extract("line", shape, i)
+    return rows.select("run_id", (F.col("at") + F.col("pos") + 1).alias("ord"), "section", "block", part(1).alias("label"), part(2).alias("value"), F.nullif(part(3), F.lit("")).alias("source_tag"), "line").distinct()
 
 
 def tracing_lines(lines: DataFrame) -> DataFrame:
@@ -51,27 +53,35 @@ def tracing_lines(lines: DataFrame) -> DataFrame:
 
 
 def anchors(lines: DataFrame) -> DataFrame:
-    """``run_id, ord, canon``: canonical numbers of the lines, with the percent form where the label is a share."""
-    each = lines.select("run_id", "ord", "label", F.explode(N.claims(F.col("value"))).alias("raw"))
-    one = N.canonical(F.col("raw"))
-    forms = F.when(N.is_range(F.col("raw")), N.range_ends(F.col("raw"))).otherwise(
-        F.array_compact(F.array(one, F.when(F.col("label").rlike(PERCENT_LABEL) & one.rlike(r"^[\d.]+$"), F.concat(one, F.lit("%")))))
-    )
-    return each.select("run_id", "ord", F.explode(forms).alias("canon")).distinct()
+    """``run_id, ord, canon``: every number of the lines in canonical form, and in the forms a claim may give it.
+
+    The percent form where the label or the word after the number says so, the scaled one where the line states its unit
+    and the number has separators.
+    """
+    each = lines.select("run_id", "ord", F.col("line").rlike(PERCENT_LABEL).alias("share"), F.lower(F.regexp_extract("line", STATED_UNIT, 1)).alias("unit"), F.explode(N.figures(F.col("line"))).alias("raw"))
+    raw, canon = F.col("raw"), F.col("canon")
+    one = each.withColumn("canon", N.canonical(raw)).filter(canon.isNotNull())
+    unscaled = ~raw.rlike(rf"(?i)\d\s?{N.SCALE}$")
+    percent = F.when(~canon.endswith("%") & (raw.rlike("(?i)percent$") | (F.col("share") & unscaled & ~canon.contains("["))), F.concat(canon, F.lit("%")))
+    grouped = raw.rlike(r"^\$?\s?\d{1,3}(?:,\d{3})+(?:\.\d+)?$") & (F.col("unit") != "")
+    scaled = F.when(grouped, N.canonical(F.concat_ws(" ", raw, "unit")))
+    return one.select("run_id", "ord", F.explode(F.array_compact(F.array(canon, percent, scaled))).alias("canon")).distinct()
 
 
 def text_claims(turns: DataFrame) -> DataFrame:
-    """``run_id, turn_id, pos, claim`` of the numeric claims of messages."""
-    said = turns.filter(F.col("text").isNotNull()).select("run_id", F.col("id").alias("turn_id"), "text")
-    # repeated rows go after the claims are taken out, so no text is shuffled
-    return said.select("run_id", "turn_id", F.posexplode(N.claims(F.col("text"))).alias("pos", "claim")).distinct()
+    """``run_id, turn_id, pos, claim`` of the numeric claims of messages, each once ignoring case, at its first place.
+
+    A text is scanned once; mentions become claims row by row, and repeated rows go then, so no text is shuffled.
+    """
+    said = turns.filter(F.col("text").isNotNull()).select("run_id", F.col("id").alias("turn_id"), F.posexplode(N.mentions(F.col("text"))).alias("pos", "mention"))
+    got = said.select("run_id", "turn_id", "pos", F.explode(F.array_compact(F.array(N.as_claim(F.col("mention"))))).alias("claim"))
+    first = got.groupBy("run_id", "turn_id", F.lower("claim").alias("low")).agg(F.min(F.struct("pos", "claim")).alias("x"))
+    return first.select("run_id", "turn_id", "x.pos", "x.claim")
 
 
 def trace(claims: DataFrame, marks: DataFrame) -> DataFrame:
     """``status`` CITED or FLAGGED of each claim: every canonical form it has is an anchor of its run."""
-    raw = F.col("claim")
-    forms = F.when(N.is_range(raw), N.range_ends(raw)).otherwise(F.array(N.canonical(raw)))
-    need = claims.select("run_id", "turn_id", "claim", F.explode(forms).alias("canon"))
+    need = claims.select("run_id", "turn_id", "claim", F.explode(N.claim_forms(F.col("claim"))).alias("canon"))
     known = marks.select("run_id", "canon", F.lit(1).alias("hit")).distinct()
     met = need.join(known, ["run_id", "canon"], "left")
     return met.groupBy("run_id", "turn_id", "claim").agg(F.when(F.min(F.coalesce("hit", F.lit(0))) == 1, "CITED").otherwise("FLAGGED").alias("status"))
@@ -84,23 +94,26 @@ def grounding(traced: DataFrame, *by: str) -> DataFrame:
 
 
 def figure_sources(claims: DataFrame, lines: DataFrame) -> DataFrame:
-    """The best line of each claim: lines with a source before others, then the first."""
-    marks = anchors(lines)
-    ranked = lines.select("run_id", "ord", "line", F.when(F.col("source_tag").isNotNull(), 0).otherwise(1).alias("rank"))
-    need = claims.select("run_id", "claim", N.canonical(F.col("claim")).alias("canon")).distinct()
-    met = need.join(marks, ["run_id", "canon"]).join(ranked, ["run_id", "ord"])
-    return met.groupBy("run_id", "claim").agg(F.min(F.struct("rank", "ord", "line")).alias("best")).select("run_id", "claim", F.col("best.ord").alias("ord"), F.col("best.rank").alias("rank"), F.col("best.line").alias("line"))
+    """The best line of each claim that holds all its forms: sourced lines, then others, then news, then the first."""
+    news = F.coalesce(F.upper("section").startswith("NEWS"), F.lit(False))
+    ranked = lines.select("run_id", "ord", "line", F.when(news, 2).when(F.col("source_tag").isNotNull(), 0).otherwise(1).alias("rank"))
+    need = claims.select("run_id", "claim", N.claim_forms(F.col("claim")).alias("forms")).distinct()
+    met = need.select("run_id", "claim", F.size("forms").alias("n"), F.explode("forms").alias("canon")).join(anchors(lines), ["run_id", "canon"])
+    whole = met.groupBy("run_id", "claim", "ord", "n").agg(F.count_distinct("canon").alias("k")).filter("k = n")
+    best = whole.join(ranked, ["run_id", "ord"]).groupBy("run_id", "claim").agg(F.min(F.struct("rank", "ord", "line")).alias("best"))
+    return best.select("run_id", "claim", F.col("best.ord").alias("ord"), F.col("best.rank").alias("rank"), F.col("best.line").alias("line"))
 
 
-def mislabeled(claims: DataFrame, lines: DataFrame) -> DataFrame:
-    """Claims whose period conflicts with every evidence label of the same number.
+def mislabeled(claims: DataFrame, lines: DataFrame, *keys: str) -> DataFrame:
+    """Claims whose period conflicts with that of every evidence label of the same number.
 
-    ``claims`` has ``run_id, claim, context``.
+    ``claims`` has ``run_id, claim, context`` and perhaps further keys. Labels without a period never conflict.
     """
-    marks = anchors(lines).join(lines.select("run_id", "ord", "label"), ["run_id", "ord"])
-    need = claims.select("run_id", "claim", "context", N.canonical(F.col("claim")).alias("canon"), P.period_class(F.col("context")).alias("claim_period")).distinct()
-    met = need.join(marks, ["run_id", "canon"]).withColumn("clash", P.conflict(F.col("claim_period"), P.period_class(F.col("label"))))
-    return met.groupBy("run_id", "claim", "context", "claim_period").agg(F.min(F.col("clash").cast("int")).alias("all_clash"), F.count("*").alias("labels")).filter("all_clash = 1").drop("all_clash")
+    by = ["run_id", *keys, "claim", "context"]
+    marks = lines.select("run_id", "label", F.explode(N.figures(F.col("value"))).alias("raw")).select("run_id", N.canonical(F.col("raw")).alias("canon"), P.period_class(F.col("label"), changes=False).alias("label_period"))
+    need = claims.select(*by, N.canonical(F.col("claim")).alias("canon"), P.period_class(F.col("context"), changes=False).alias("claim_period")).filter(~F.col("claim_period").isin("unstated", "period ended")).distinct()
+    met = need.join(marks, ["run_id", "canon"]).withColumn("clash", P.conflict(F.col("claim_period"), F.col("label_period")))
+    return met.groupBy(*by, "claim_period").agg(F.min(F.col("clash").cast("int")).alias("all_clash"), F.count("*").alias("labels")).filter("all_clash = 1").drop("all_clash")
 
 
 def rounded_sources(claims: DataFrame, values: DataFrame) -> DataFrame:
@@ -127,19 +140,50 @@ def recompute(claims: DataFrame, values: DataFrame) -> DataFrame:
 
 
 def sentences_of(turns: DataFrame) -> DataFrame:
-    said = turns.filter(F.col("text").isNotNull()).select(F.col("id").alias("turn_id"), "text").distinct()
-    return said.select("turn_id", F.posexplode(split_sentences(F.col("text"))).alias("pos", "sentence"))
+    """``turn_id, pos, sentence`` of the texts; repeated rows go after the split, so no text is shuffled."""
+    said = turns.filter(F.col("text").isNotNull()).select(F.col("id").alias("turn_id"), F.posexplode(sentences(F.col("text"))).alias("pos", "sentence"))
+    return said.distinct()
+
+
+def sentences(text: Column) -> Column:
+    return F.filter(F.transform(F.split(text, SPLIT), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def has_any(text: Column, phrases: list[str]) -> Column:
+    low = F.lower(text)
+    return F.exists(F.array(*[F.lit(p) for p in phrases]), lambda p: low.contains(p))
+
+
+def screened(text: Column) -> Column:
+    """array<string> of the sentences before the first that disclaims; a fold over the sentences of one text."""
+    all_ = sentences(text)
+    first = F.array_position(F.transform(all_, lambda x: has_any(x, DISCLAIMERS)), F.lit(True))
+    return F.when(first == 0, all_).otherwise(F.slice(all_, F.lit(1), F.greatest(first.cast("int") - 1, F.lit(0))))
 
 
 def advice(turns: DataFrame) -> DataFrame:
-    """Sentences of advice before the disclaimer of their text, by a running flag over the sentences."""
-    w = Window.partitionBy("turn_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    flagged = sentences_of(turns).withColumn("after", F.max(F.col("sentence").rlike(DISCLAIMER).cast("int")).over(w))
-    return flagged.filter((F.col("after") == 0) & F.col("sentence").rlike(ADVICE)).select("turn_id", "pos", "sentence")
+    """``turn_id, pos, sentence``: sentences of advice before the disclaimer of their text."""
+    said = turns.filter(F.col("text").isNotNull()).select(F.col("id").alias("turn_id"), F.posexplode(screened(F.col("text"))).alias("pos", "sentence"))
+    return said.filter(has_any(F.col("sentence"), ADVICE)).distinct()
+
+
+def failing_runs(runs: DataFrame, marks: list[str] = FAILED) -> DataFrame:
+    """``run_id`` of the runs whose packet records that something was not found or not read."""
+    return runs.filter(F.col("evidence").rlike("|".join(marks))).select(F.col("id").alias("run_id")).distinct()
+
+
+def is_absence(sentence: Column) -> Column:
+    return sentence.rlike(ABSENCE) & ~F.lower(sentence).contains("not retrieved") & ~sentence.contains("UNKNOWN, NOT ABSENT")
+
+
+def absences(turns: DataFrame, runs: DataFrame, marks: list[str] = FAILED) -> DataFrame:
+    """``turn_id, pos, sentence``: claims that something is not disclosed, in runs whose packet records a failure."""
+    said = turns.filter("text is not null").join(failing_runs(runs, marks), "run_id", "left_semi")
+    return sentences_of(said).filter(is_absence(F.col("sentence")))
 
 
 def stamped(traced: DataFrame, turns: DataFrame) -> DataFrame:
-    """Each text with its flagged claims tagged, longest claim first, never inside a tag: ``turn_id, text, tags``.
+    """Each text with its flagged claims tagged, longest claim first, never inside a number or a tag: ``turn_id, text, tags``.
 
     The claims of one text are its own few; a text is rewritten in one pass of an Arrow function.
     """
@@ -150,7 +194,7 @@ def stamped(traced: DataFrame, turns: DataFrame) -> DataFrame:
         def one(t, claims):  # noqa: ANN001, ANN202
             if t is None or claims is None or not len(claims):
                 return t
-            rx = re.compile("|".join(re.escape(c) for c in sorted(claims, key=len, reverse=True)) + r"(?![\w%])")
+            rx = re.compile(r"(?<![\d.\-–])(?:" + "|".join(re.escape(c) for c in sorted(claims, key=len, reverse=True)) + r")(?![\w%])")
             return "".join(p if p.startswith("[") else rx.sub(lambda m: m[0] + " [UNGROUNDED]", p) for p in re.split(r"(\[[^\]]*\])", t))
 
         return pd.Series([one(t, b) for t, b in zip(text, bad, strict=True)])

@@ -59,6 +59,39 @@ def test_claims_of_a_text(spark):
     text = "At $195.55 the cap is $4.74T on 15.32x; sales of $91.0 billion grew 25.2%, margin 30-40%. v1.2x and 2.5.1% are none."
     assert one(spark, text, N.claims) == ["$195.55", "$4.74T", "15.32x", "$91.0 billion", "25.2%", "30-40%"]
     assert one(spark, "", N.claims) == [] and one(spark, None, N.claims) is None
+    said = "2026 revenue fell while trailing P/E of 38.61 and 14 times forward EBITDA beat the 22.05 consensus."
+    assert one(spark, said, N.claims) == ["38.61", "14", "22.05"]
+    assert one(spark, "Q4 FY2027 10-K 2026-10-27 p25, 5 million shares, 1,204 customers, 2026 customers, 3 times as many", N.claims) == ["5 million shares", "1,204 customers"]
+    assert one(spark, "PEG ratio of 1.3, a ratio: 5%, 5% and 5 %; $5-10 million", N.claims) == ["1.3", "5%", "5 %", "$5"]
+
+
+def test_evidence_forms(spark):
+    runs = spark.createDataFrame([(1, "[A]\n- Debt/Equity (mrq, %): 401.00  [source: x]\n- Rent (in thousands): 729,476\n- Said: 50.1 percent, 2 percentage points, 0.52")], "id bigint, evidence string")
+    got = {}
+    for r in C.anchors(C.evidence_lines(runs)).collect():
+        got.setdefault(r.ord, set()).add(r.canon)
+    assert {"401", "401%"} <= got[2] and {"729476", "729476000"} <= got[3] and {"50.1", "50.1%", "2", "0.52 [ambiguous fraction-or-percent]"} == got[4]
+
+
+def test_headings_are_carried(spark):
+    text = "- a: 1\n[S | USD]\n- b: 2\n-- Block --\n- c: 3\n[T]\n- d: 4"
+    runs = spark.createDataFrame([(1, text), (1, text), (2, None), (3, "")], "id bigint, evidence string")
+    got = sorted((r.ord, r.section, r.block, r.label, r.value) for r in C.evidence_lines(runs).collect())
+    assert got == [(1, None, "", "a", "1"), (3, "S", "", "b", "2"), (5, "S", "Block", "c", "3"), (7, "T", "", "d", "4")]
+
+
+def test_disclaimers_and_absences(spark):
+    t = spark.createDataFrame([(1, 1, "Does Not Constitute Financial Advice. Investors should wait."), (1, 2, "The research team discussed advice columns. Investors should wait. It does not disclose backlog."), (2, 3, "Margins were not disclosed.")], "run_id bigint, id bigint, text string")
+    assert [(r.turn_id, r.pos) for r in C.advice(t).collect()] == [(2, 1)]
+    runs = spark.createDataFrame([(1, "- KPI value not found: x"), (2, "- fine: 1")], "id bigint, evidence string")
+    assert [(r.turn_id, r.pos) for r in C.absences(t, runs).collect()] == [(2, 2)]
+
+
+def test_inline_anchors_leave_whole():
+    from tessera.operators.governor import stamp, without_anchors
+
+    assert without_anchors("Up 5% (anchors: $1 (= $2)) now (derived from x") == "Up 5% now (derived from x"
+    assert stamp("25-54% and 54%, 1.54%", ["54%", "25-54%"], [], []) == "25-54% [UNGROUNDED — no evidence anchor] and 54% [UNGROUNDED — no evidence anchor], 1.54%"
 
 
 def test_trace_goldens(spark):
@@ -76,7 +109,7 @@ def test_recompute_goldens(spark, claim, pct, ok):
 
 
 def test_advice_only_before_the_disclaimer(spark):
-    t = spark.createDataFrame([(1, "Investors should buy. This is not advice. Investors should sell."), (2, None), (3, "")], "id bigint, text string")
+    t = spark.createDataFrame([(1, "Investors should buy. This is not financial advice. Investors should sell."), (2, None), (3, "")], "id bigint, text string")
     assert [(r.turn_id, r.pos) for r in C.advice(t).collect()] == [(1, 0)]
 
 
