@@ -2,18 +2,21 @@
 
 The length hazard of each field and source (how many values end at a length, of those that reach it) is
 computed by window functions and tested against the hazards of neighbouring lengths; the Benjamini-Hochberg
-procedure controls false discoveries over all lengths. Significant lengths are the field limits. Values whose
-ending is incomplete are cut: by the limit at a significant length, in transfer at any other.
+procedure controls false discoveries over all lengths of all fields, sources and units together. Significant
+lengths are the field limits. Values whose ending is incomplete are cut: by the limit at a significant length, in
+transfer at any other.
 
-An ending is judged by its structure (code block, table row, quotation, bracket, number, terminator); where
-that leaves it open (abbreviations, list items, headings, figures, sources, short remarks) by how such endings
-behave where nothing can have been cut, namely before the last sentence or line of all values.
+An ending is judged by its structure (code block, table row, quotation, bracket, number, terminator). Where that
+leaves it open (abbreviations, list items, headings, figures, sources, short remarks), the odds that such an ending
+is whole come from how often it is one where nothing can have been cut, namely before the last sentence or line of
+all values; at a significant length they are multiplied by the odds that a value ends there by itself, taken from
+the endings of that length that structure decides (a limit tears most of them, a phrase that recurs none).
 
 Texts are read once, by one pass that yields a small row per value and pre-aggregated evidence; no text is
 shuffled.
 
-Defined results: null and blank values and bracketed notes are whole; repeated rows count once; a value
-without a known source is tested under the source ''; an empty table gives no cases.
+Defined results: null and blank values and bracketed notes are whole; repeated rows are one value (as evidence
+each counts, which leaves shares as they are); a value without a known source is tested under the source ''; an empty table gives no cases.
 """
 
 from __future__ import annotations
@@ -30,11 +33,13 @@ from tessera.session import cut
 
 from .sentences import ENDING, EVENT, JOINING, NUMBERED, TERM, TITLES, _term
 
-#: Lengths on either side that a hazard is compared with; share of false discoveries; least count of a limit, and least
-#: multiple of what its neighbours lead to expect (over much data every small difference is significant).
+#: Lengths on either side that a hazard is compared with; share of false discoveries. A discovery is a limit from the least
+#: count and the least multiple of what its neighbours lead to expect, as over much data every small difference is significant.
 NEIGHBOURS, FALSE_SHARE, LEAST, LEAST_RATIO = 25, 0.001, 5, 5.0
 #: Occurrences that a key needs before it decides, and the share of them that must be endings.
 SEEN, ENDS = 3, 0.5
+#: What is added to both counts of a key, so that a single sighting isn't certainty; and the share taken where none was seen.
+HALF, SURE = 0.5, 0.9
 SALT = 8
 
 VERDICT = Scalar("verdict", "verdict", ("judge", "review"), "text")
@@ -264,14 +269,16 @@ class Truncation:
     def __init__(self, turns: DataFrame, run_events: DataFrame, runs: DataFrame):
         got = values(turns, run_events).mapInPandas(_read, ROWS)
         self._all = cut(got)  # small rows, read several times below
-        self.rows = self._all.filter("field is not null").select("field", "rec_id", "run_id", "chars", "bytes", "status", "keys").dropDuplicates(["field", "rec_id"])
+        rows = self._all.filter("field is not null").select("field", "rec_id", "run_id", "chars", "bytes", "status", "keys").dropDuplicates(["field", "rec_id"])
         model = runs.filter(F.col("id").isNotNull()).groupBy(F.col("id").alias("run_id")).agg(F.max("model").alias("source"))
-        self.sourced = self.rows.join(model, "run_id", "left").withColumn("source", F.coalesce("source", F.lit("")))
+        self.sourced = cut(rows.join(model, "run_id", "left").withColumn("source", F.coalesce("source", F.lit(""))).drop("run_id"))
 
     def hazards(self) -> DataFrame:
-        """``field, source, unit, length, n, expected, p, significant`` of every length that occurs."""
+        """``field, source, unit, length, n, n_torn, expected, p, significant`` of every length that occurs."""
         unit = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("length"))))
-        counts = self.sourced.filter("chars > 0").select("field", "source", unit.alias("u")).select("field", "source", "u.*").groupBy("field", "source", "unit", "length").agg(F.count("*").alias("n"))
+        torn_ = (F.col("status") == "cut").cast("int").alias("torn")
+        each = self.sourced.filter("chars > 0").select("field", "source", torn_, unit.alias("u")).select("field", "source", "torn", "u.*")
+        counts = each.groupBy("field", "source", "unit", "length").agg(F.count("*").alias("n"), F.sum("torn").alias("n_torn"))
         # one row per distinct length: the windows' groups don't grow with the rows
         group = Window.partitionBy("field", "source", "unit")
         beyond = group.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, 0)
@@ -284,14 +291,28 @@ class Truncation:
         # upper bound of the Poisson tail P(X >= n), so the test errs on the safe side
         bound = F.when(F.col("n") > F.col("expected"), F.exp(F.col("n") - F.col("expected") - F.col("n") * F.ln(F.col("n") / F.col("expected")))).otherwise(F.lit(1.0))
         tested = seen.withColumn("expected", expected).withColumn("p", bound)
-        ranked = tested.withColumns({"rank": F.row_number().over(group.orderBy("p", "length")), "tests": F.count("*").over(group)})
-        passed = ranked.withColumn("ok", F.col("p") <= FALSE_SHARE * F.col("rank") / F.col("tests"))
-        last = F.max(F.when(F.col("ok"), F.col("rank"))).over(group)
-        keep = F.coalesce(F.col("rank") <= last, F.lit(False)) & (F.col("n") >= LEAST) & (F.col("n") >= LEAST_RATIO * F.col("expected"))
-        return passed.select("field", "source", "unit", "length", "n", "expected", "p", keep.alias("significant"))
-
-    def cut_values(self) -> DataFrame:
-        """``field, rec_id, source, cause`` of every cut value; cause is limit or transfer."""
+        tests = tested.agg(F.count("*").alias("tests"))  # one row
+        # only a p up to the rate can pass, and its rank is the same among those alone: they are few, so one window ranks them
+        small = tested.filter(F.col("p") <= FALSE_SHARE).crossJoin(F.broadcast(tests)).withColumn("rank", F.row_number().over(Window.orderBy("p", "field", "source", "unit", "length")))
+        last = small.filter(F.col("p") <= FALSE_SHARE * F.col("rank") / F.col("tests")).agg(F.max("p").alias("last"))  # one row
+        keep = F.coalesce(F.col("p") <= F.col("last"), F.lit(False)) & (F.col("n") >= LEAST) & (F.col("n") >= LEAST_RATIO * F.col("expected"))
+        return tested.crossJoin(F.broadcast(last)).select("field", "source", "unit", "length", "n", "n_torn", "expected", "p", keep.alias("significant"))
+
+    def at_limits(self) -> DataFrame:
+        """``field, rec_id, source, by_itself``: every value, and at a significant length the odds that it ends there by itself, else null."""
+        # a few lengths of each field and source; Catalyst chooses how to meet them
+        odds = F.least((F.col("n") - F.col("n_torn") + HALF) / (F.col("n_torn") + HALF), F.lit(1.0))
+        limits = self.hazards().filter("significant").select("field", "source", "unit", "length", odds.alias("odds"))
+        by_chars = limits.filter("unit = 'chars'").select("field", "source", F.col("length").alias("chars"), F.col("odds").alias("at_chars"))
+        by_bytes = limits.filter("unit = 'bytes'").select("field", "source", F.col("length").alias("bytes"), F.col("odds").alias("at_bytes"))
+        met = self.sourced.join(by_chars, ["field", "source", "chars"], "left").join(by_bytes, ["field", "source", "bytes"], "left")
+        return met.select("field", "rec_id", "source", "status", "keys", F.least("at_chars", "at_bytes").alias("by_itself"))
+
+    def cut_values(self, by_hazard: bool = True) -> DataFrame:
+        """``field, rec_id, source, cause`` of every cut value; cause is limit or transfer.
+
+        Without ``by_hazard`` the odds of the lengths are left out (to see what they decide).
+        """
         counts = self._all.filter("key is not null").groupBy("key").agg(F.sum("n_end").alias("n_end"), F.sum("n_more").alias("n_more"))
         # a remark that is the beginning of a far commoner one is that one, cut
         remarks = counts.filter(F.col("key").startswith("r:") & (F.col("n_end") >= SEEN))
@@ -300,25 +321,22 @@ class Truncation:
         torn_remarks = remarks.join(begun, "key").filter("n_longer >= 2 * n_end").select("key")
         counts = counts.join(torn_remarks, "key", "left_anti")
         salted = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-        asked = self.sourced.filter("status = 'ask'").select("field", "rec_id", F.posexplode("keys").alias("level", "key")).withColumn("salt", F.pmod(F.xxhash64("rec_id"), F.lit(SALT)).cast("int"))
+        placed = self.at_limits().filter("status in ('ask', 'cut')")
+        asked = placed.filter("status = 'ask'").select("field", "rec_id", "source", "by_itself", F.posexplode("keys").alias("level", "key")).withColumn("salt", F.pmod(F.xxhash64("rec_id"), F.lit(SALT)).cast("int"))
         known = asked.join(salted, ["key", "salt"], "left").fillna(0, ["n_end", "n_more"])
         total = F.col("n_end") + F.col("n_more")
         enough = total >= F.when(F.substring("key", 1, 2).isin("p:", "r:", "e:"), SEEN).otherwise(1)
-        best = known.groupBy("field", "rec_id").agg(
-            F.min_by(F.when(enough, F.col("n_end") / total), F.when(enough, F.col("level"))).alias("share"), F.max_by("key", "level").alias("least")
+        best = known.groupBy("field", "rec_id", "source", "by_itself").agg(
+            F.min_by(F.when(enough, (F.col("n_end") + HALF) / (total + 2 * HALF)), F.when(enough, F.col("level"))).alias("share"), F.max_by("key", "level").alias("least")
         )
         # nothing like it was seen: a point closes a sentence unless it is of an abbreviation that never does or of a torn number
         word = F.lower(F.regexp_replace(F.substring_index(F.expr("substring(least, 3)"), " ", -1), r"^[(\"“«„]+|[.)\"”»“]+$", ""))
-        default = F.when(F.col("least").startswith("p:"), (~word.isin(sorted(ABBREVIATIONS - ENDING)) & ~word.rlike(r"\d") & ~word.rlike(r"^.$")).cast("double")).otherwise(F.lit(0.0))
-        open_cut = best.filter(F.coalesce("share", default) < ENDS).select("field", "rec_id")
-        sure = self.sourced.filter("status = 'cut'").select("field", "rec_id")
-        found = sure.unionByName(open_cut).join(self.sourced.select("field", "rec_id", "source", "chars", "bytes"), ["field", "rec_id"])
-        limits = self.hazards().filter("significant").select("field", "source", "unit", "length")
-        # a few lengths of each field and source; Catalyst chooses how to meet them
-        by_chars = limits.filter("unit = 'chars'").select("field", "source", F.col("length").alias("chars"), F.lit(True).alias("at_chars"))
-        by_bytes = limits.filter("unit = 'bytes'").select("field", "source", F.col("length").alias("bytes"), F.lit(True).alias("at_bytes"))
-        at = found.join(by_chars, ["field", "source", "chars"], "left").join(by_bytes, ["field", "source", "bytes"], "left")
-        return at.select("field", "rec_id", "source", F.when(F.coalesce("at_chars", "at_bytes", F.lit(False)), "limit").otherwise("transfer").alias("cause"))
+        default = F.when(F.col("least").startswith("p:"), (~word.isin(sorted(ABBREVIATIONS - ENDING)) & ~word.rlike(r"\d") & ~word.rlike(r"^.$"))).otherwise(F.lit(False))
+        share = F.coalesce("share", F.when(default, SURE).otherwise(1 - SURE))
+        torn_off = share / (1 - share) * F.coalesce(F.col("by_itself") if by_hazard else F.lit(1.0), F.lit(1.0)) < ENDS / (1 - ENDS)
+        open_cut = best.filter(torn_off).select("field", "rec_id", "source", "by_itself")
+        found = placed.filter("status = 'cut'").select("field", "rec_id", "source", "by_itself").unionByName(open_cut)
+        return found.select("field", "rec_id", "source", F.when(F.col("by_itself").isNotNull(), "limit").otherwise("transfer").alias("cause"))
 
     def limits(self) -> DataFrame:
         """The field limits: significant lengths at which most values are cut, with both counts."""

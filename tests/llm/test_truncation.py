@@ -91,3 +91,26 @@ def test_sentences_that_trail_off_by_intent_recur(spark):
 def test_empty(spark):
     t = build(spark, [])
     assert t.found().count() == 0 and t.report().count() == 0 and t.limits().count() == 0
+
+
+def test_hazards_take_part_in_the_decision(spark):
+    """An ending that could be whole is cut at a length where the limit tears most values, and only there."""
+    import random
+
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    fill = lambda n: ("The " + " ".join(word(5) for _ in range(40)))[: n - 1]
+    tail = " rent, tolls, etc."
+    rows = [fill(n) + "." for n in range(40, 240) if n != 120]
+    rows += [fill(120) + "x" for _ in range(60)]
+    rows += [f"It bore rent, tolls, etc. {w} was paid." for w in ("Tax", "Wage", "Fuel", "and rent")]
+    at, off = len(rows), len(rows) + 1
+    rows += [fill(121 - len(tail)) + tail, fill(151 - len(tail)) + tail]
+    assert len(rows[at]) == 120 and len(rows[off]) == 150
+    turns = spark.createDataFrame([(i, 1, x) for i, x in enumerate(rows)], "id bigint, run_id bigint, text string")
+    events = spark.createDataFrame([], "event_id bigint, run_id bigint, event string, data string")
+    t = T.Truncation(turns, events, spark.createDataFrame([(1, "m")], "id bigint, model string"))
+    with_, without = ({r.rec_id for r in t.cut_values(b).collect()} for b in (True, False))
+    assert with_ - without == {at} and off not in with_ and not without - with_
+    plan = t.found()._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition" in plan, plan
