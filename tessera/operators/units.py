@@ -7,8 +7,9 @@ its two ends (cycle consistency), and amounts then meet their conversion by an e
 written. The amounts themselves never leave the executors.
 
 Defined results: null, blank or not-available values, ranges, multiples, dates and lines with several amounts
-yield no row, because what stands around the number is no unit; an amount beyond BIGINT yields no row;
-repeated rows yield each amount once; an empty table yields an empty table.
+yield no amount, because what stands around the number is no unit, and an amount beyond BIGINT yields none;
+``rejected`` lists them with the reason, so nothing goes unseen. Repeated rows yield each amount once; an empty
+table yields an empty table.
 """
 
 from __future__ import annotations
@@ -17,12 +18,16 @@ from collections import deque
 from dataclasses import dataclass
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from tessera.functions.text import headed_blocks
 
 #: Currency pairs that may be read to the driver; beyond it the rates aren't a dimension and the call fails.
 MAX_PAIRS = 10_000
 #: Relative disagreement that exchange rates around a cycle may have (market rates never close exactly).
 FX_TOLERANCE = Fraction(2, 100)
+#: Kinds of quantity, and spellings of units with their scales, that are a dimension; beyond it the call fails.
+MAX_QUANTITIES, MAX_SPELLINGS = 1_000, 100_000
 
 # Spellings of scales, currencies and units, and exact definitions of units.
 SCALES = {
@@ -173,7 +178,10 @@ def conversions(fx: DataFrame, common_units: DataFrame) -> DataFrame:
         if max(len(str(abs(x))) for x in (num, off, den)) <= RANK_DIGITS:
             rows.setdefault(key, (key, quantity, str(num), str(off), str(den)))
 
-    for quantity, unit in sorted((r["quantity"], r["common_unit"]) for r in common_units.limit(10_000).collect()):
+    wanted = common_units.filter("quantity is not null and common_unit is not null").select("quantity", "common_unit").limit(MAX_QUANTITIES + 1).collect()
+    if len(wanted) > MAX_QUANTITIES:
+        raise ValueError(f"more than {MAX_QUANTITIES} kinds of quantity")
+    for quantity, unit in sorted((r["quantity"], r["common_unit"]) for r in wanted):
         target = unit.strip().lower()
         ways = g.to(names.get(target, target))
         if quantity.strip().lower() == "money":
@@ -195,6 +203,8 @@ def conversions(fx: DataFrame, common_units: DataFrame) -> DataFrame:
                     if name == "person":  # a bare staff number, perhaps with a scale
                         for scale, n in SCALES.items():
                             put(f"staff|{scale}", quantity, ways[name], n)
+    if len(rows) > MAX_SPELLINGS:
+        raise ValueError(f"more than {MAX_SPELLINGS} spellings of units")
     return spark.createDataFrame(sorted(rows.values()), "key string, quantity string, num string, off string, den string").select(
         "key", "quantity", *[F.col(c).cast("decimal(38,0)").alias(c) for c in ("num", "off", "den")]
     )
@@ -212,75 +222,88 @@ NUMBER = r"\d(?:[\d.,'’\u00a0\u202f]*\d)?"
 
 def parse_number(digits: Column, german: Column) -> Column:
     """DECIMAL of a number as written: grouping by comma, point, apostrophe or space; comma or point decimals."""
-    d = F.regexp_replace(digits, r"['’\u00a0\u202f]", "")
-    both_comma_last = d.rlike(r"\..*,")
-    both_point_last = d.rlike(r",.*\.")
-    comma_groups = d.rlike(r"^\d{1,3}(,\d{2,3})*,\d{3}$")
-    point_groups = d.rlike(r"^\d{1,3}(\.\d{3})+$")
-    many_points = d.rlike(r"\..*\.")
-    no_comma, no_point = F.regexp_replace(d, ",", ""), F.regexp_replace(d, r"\.", "")
-    as_comma_decimal = F.regexp_replace(no_point, ",", ".")
+    d = F.translate(digits, "'’\u00a0\u202f", "")
+    comma, point = d.contains(","), d.contains(".")
+    comma_last = F.length(F.substring_index(d, ",", -1)) < F.length(F.substring_index(d, ".", -1))
+    no_comma, no_point = F.translate(d, ",", ""), F.translate(d, ".", "")
+    as_comma_decimal = F.translate(no_point, ",", ".")
     text = (
-        F.when(both_comma_last, as_comma_decimal)
-        .when(both_point_last, no_comma)
-        .when(d.contains(",") & comma_groups & ~german, no_comma)
-        .when(d.contains(","), as_comma_decimal)
-        .when(many_points | (german & point_groups), no_point)
+        F.when(comma & point, F.when(comma_last, as_comma_decimal).otherwise(no_comma))
+        .when(comma, F.when(~german & d.rlike(r"^\d{1,3}(,\d{2,3})*,\d{3}$"), no_comma).otherwise(as_comma_decimal))
+        .when(point & ((F.length(d) - F.length(no_point) > 1) | (german & d.rlike(r"^\d{1,3}(\.\d{3})+$"))), no_point)
         .otherwise(d)
     )
     return text.try_cast("decimal(28,8)")
 
 
-def amounts(values: DataFrame, value: str, label: str, heading: str, conv: DataFrame) -> DataFrame:
-    """``values`` with ``amount`` BIGINT in the common unit of its ``quantity``; rows without one amount go.
+BLANKS = " \t\r\n\u00a0\u202f\u2009"
+
+
+def parsed(values: DataFrame, value: str, label: str, heading: str) -> DataFrame:
+    """``values`` with ``key`` (the unit as written) and ``_value`` of each that holds a number.
 
     ``heading`` gives the unit of a number that has none; a bare staff number (by ``label``) is persons.
     """
-    v = F.trim(F.regexp_replace(F.regexp_replace(F.col(value), rf"{SPACE}*\[source:[^\]]*\]{SPACE}*$", ""), rf"^{SPACE}+|{SPACE}+$", ""))
+    v = F.trim(F.substring_index(F.col(value), "[source:", 1), F.lit(BLANKS))
     w = F.col("_v")
-    body = F.regexp_replace(F.regexp_replace(w, r"^([^\d(]*)\((.*)\)$", "$1$2"), r"^([^\d+\-−–]*)[+\-−–](?=[^\d]*\d)", "$1")
-    negative = w.rlike(r"^[^\d(]*\(.*\)$") | w.rlike(r"^[^\d+\-−–]*[\-−–][^\d]*\d")
-    shape = rf"^([^\d]*?){SPACE}*({NUMBER}){SPACE}*(.*)$"
+    signed = w.rlike(r"^[^\d+\-−–]*[+\-−–][^\d]*\d")
+    inside = F.when(w.contains("("), F.regexp_replace(w, r"^([^\d(]*)\((.*)\)$", "$1$2")).otherwise(w)
+    body = F.when(signed, F.regexp_replace(inside, r"^([^\d+\-−–]*)[+\-−–](?=[^\d]*\d)", "$1")).otherwise(inside)
+    negative = (w.contains("(") & w.rlike(r"^[^\d(]*\(.*\)$")) | (signed & w.rlike(r"^[^\d+\-−–]*[\-−–]"))
     squeeze = lambda c: F.lower(F.trim(F.regexp_replace(c, rf"{SPACE}+", " ")))
     code = F.lower(F.regexp_extract(F.col(heading), r"\b(USD|EUR|GBP|JPY|TWD|INR|CHF|KRW)\b", 1))
     scale = F.lower(F.regexp_extract(F.col(heading), r"(?i)\b(thousand|million|billion|trillion)s?\b", 1))
     # What is parsed is exploded from an array of one, as the optimizer would repeat it for every filter above.
     once = lambda *cols: F.explode(F.array(F.struct(*cols)))
-    step = values.withColumn("_v", v).withColumn("_b", once(body.alias("body"), negative.alias("neg"))).drop("_v")
-    part = lambda i: F.regexp_extract("_b.body", shape, i)
-    step = step.withColumn("_s", once(squeeze(part(1)).alias("pre"), part(2).alias("num"), squeeze(part(3)).alias("suf"), F.col("_b.neg").alias("neg"))).drop("_b")
-    got = step.filter(F.col("_s.num") != "").withColumns({f"_{c}": F.col("_s")[c] for c in ("pre", "num", "suf", "neg")}).drop("_s")
-    bare = F.col("_pre") == ""
+    step = values.withColumn("_v", v).filter(w.rlike(r"\d")).withColumn("_b", once(body.alias("body"), negative.alias("neg"))).drop("_v")
+    before = F.regexp_extract("_b.body", r"^[^\d]*", 0)
+    step = step.withColumn("_p", once(before.alias("pre"), F.substring(F.col("_b.body"), F.length(before) + 1, F.lit(1 << 30)).alias("rest"), F.col("_b.neg").alias("neg"))).drop("_b")
+    num = F.regexp_extract("_p.rest", rf"^{NUMBER}", 0)
+    step = step.withColumn("_s", once(squeeze(F.col("_p.pre")).alias("pre"), num.alias("num"), squeeze(F.substring(F.col("_p.rest"), F.length(num) + 1, F.lit(1 << 30))).alias("suf"), F.col("_p.neg").alias("neg"))).drop("_p")
+    pre, suf = F.col("_s.pre"), F.col("_s.suf")
     staff = F.coalesce(F.col(label).rlike(STAFF_LABEL), F.lit(False))
     key = (
-        F.when(bare & staff & F.col("_suf").isin(list(SCALES)), F.concat(F.lit("staff|"), "_suf"))
-        .when(bare & (F.col("_suf") == "") & (code != ""), F.concat(code, F.lit("|"), scale))
-        .otherwise(F.concat("_pre", F.lit("|"), "_suf"))
+        F.when((pre == "") & suf.isin(list(SCALES)) & staff, F.concat(F.lit("staff|"), suf))
+        .when((pre == "") & (suf == "") & (code != ""), F.concat(code, F.lit("|"), scale))
+        .otherwise(F.concat(pre, F.lit("|"), suf))
     )
-    number = parse_number(F.col("_num"), F.col("_suf").rlike(r"\b(mio|mrd)\b"))
-    got = got.select(*values.columns, key.alias("key"), F.when(F.col("_neg"), -number).otherwise(number).alias("_value"))
-    # The conversions come from a fixed registry and at most MAX_PAIRS rates: a bounded side.
-    joined = got.join(F.broadcast(conv), "key")
+    number = parse_number(F.col("_s.num"), suf.rlike(r"\b(mio|mrd)\b"))
+    return step.select(*values.columns, key.alias("key"), F.when(F.col("_s.neg"), -number).otherwise(number).alias("_value"))
+
+
+def converted(values: DataFrame, value: str, label: str, heading: str, conv: DataFrame) -> DataFrame:
+    """The parsed values with ``quantity`` and ``amount``; both null where the unit as written is in no conversion."""
+    # the conversions come from a fixed registry and at most MAX_PAIRS rates, and their number is checked
+    met = parsed(values, value, label, heading).join(F.broadcast(conv), "key", "left")
     exact = F.try_divide(F.expr("try_add(try_multiply(_value, num), off)"), F.col("den"))
-    return joined.withColumn("amount", F.round(exact, 0).try_cast("bigint")).filter(F.col("amount").isNotNull()).drop("key", "_value", "num", "off", "den")
+    return met.withColumn("amount", F.round(exact, 0).try_cast("bigint")).drop("_value", "num", "off", "den")
+
+
+def amounts(values: DataFrame, value: str, label: str, heading: str, conv: DataFrame) -> DataFrame:
+    """``values`` with ``amount`` BIGINT in the common unit of its ``quantity``; rows without one amount go."""
+    return converted(values, value, label, heading, conv).filter(F.col("amount").isNotNull()).drop("key")
+
+
+def rejected(values: DataFrame, value: str, label: str, heading: str, conv: DataFrame) -> DataFrame:
+    """The values that yield no amount, with ``reason``: no number, no unit known (``written`` is what stands there), too large."""
+    some = F.coalesce(F.col(value), F.lit("")).rlike(r"\d")
+    none = values.filter(~some).select(*values.columns, F.lit("no number").alias("reason"), F.lit(None).cast("string").alias("written"))
+    left = converted(values, value, label, heading, conv).filter("amount is null")
+    return none.unionByName(left.select(*values.columns, F.when(F.col("quantity").isNull(), "no unit").otherwise("too large").alias("reason"), F.col("key").alias("written")))
 
 
 def evidence_lines(runs: DataFrame) -> DataFrame:
     """``run_id, line_no, label, value, heading`` of each data line of the packets, and line 0 for the price.
 
-    The heading is the nearest line above that is one; it is carried by a window over the lines of one row.
+    The heading is the nearest line above that is one; it is carried by a fold over the parts of one text.
     """
-    line = F.col("line")
-    is_heading = line.rlike(r"^\s*(\[|--)")
-    exploded = (
-        runs.select(F.col("id").alias("run_id"), "evidence", F.monotonically_increasing_id().alias("rid"))
-        .filter(F.col("evidence").isNotNull())
-        .select("run_id", "rid", F.posexplode(F.split("evidence", "\n")).alias("pos", "line"))
-        .withColumn("heading", F.last(F.when(is_heading, line), ignorenulls=True).over(Window.partitionBy("rid", "run_id").orderBy("pos")))
-        .filter(~is_heading)
-    )
-    cut = r"^\s*[-•*]\s+([^:]*):\s*(.*)$"
-    data = exploded.select("run_id", (F.col("pos") + 1).alias("line_no"), F.regexp_extract("line", cut, 1).alias("label"), F.regexp_extract("line", cut, 2).alias("value"), "heading").filter(F.col("value") != "")
+    parts = runs.filter(F.col("evidence").isNotNull()).select(F.col("id").alias("run_id"), F.explode(headed_blocks(F.col("evidence"))).alias("p"))
+    rows = parts.select("run_id", "p.at", "p.heading", F.posexplode(F.split("p.body", "\n")).alias("pos", "line")).filter("heading is null or pos > 0")
+    line = F.ltrim("line")
+    item = rows.select("run_id", (F.col("at") + F.col("pos") + 1).alias("line_no"), "heading", F.explode(F.array(line)).alias("line")).filter(F.col("line").rlike(r"^[-•*]\s+[^:]*:"))
+    label = F.trim(F.substring(F.substring_index("line", ":", 1), F.lit(2), F.lit(1 << 30)))
+    value = F.trim(F.substring(F.col("line"), F.instr("line", ":") + 1, F.lit(1 << 30)), F.lit(BLANKS))
+    data = item.select("run_id", "line_no", label.alias("label"), value.alias("value"), "heading").filter(F.col("value") != "")
     price = runs.filter(F.col("price").isNotNull()).select(F.col("id").alias("run_id"), F.lit(0).alias("line_no"), F.lit("price").alias("label"), F.col("price").alias("value"), F.lit(None).cast("string").alias("heading"))
     return data.unionByName(price)
 
@@ -289,3 +312,9 @@ def run_amounts(runs: DataFrame, fx: DataFrame, common_units: DataFrame) -> Data
     """Every stated amount of the runs in its common unit: ``run_id, line_no, quantity, amount``."""
     got = amounts(evidence_lines(runs), "value", "label", "heading", conversions(fx, common_units))
     return got.select("run_id", "line_no", "quantity", "amount").distinct()
+
+
+def run_rejected(runs: DataFrame, fx: DataFrame, common_units: DataFrame) -> DataFrame:
+    """What was left out of the runs' amounts, and why: ``run_id, line_no, value, reason, written``."""
+    got = rejected(evidence_lines(runs), "value", "label", "heading", conversions(fx, common_units))
+    return got.select("run_id", "line_no", "value", "reason", "written").distinct()

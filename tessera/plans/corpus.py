@@ -31,6 +31,7 @@ def queries() -> dict[str, Query]:
         **{f"p3_{e}": _flat(e) for e in FIELDS},
         "p6_found": lambda s, d: _amounts(s, d).select("run_id", "line_no", "amount").distinct(),
         "p6_amounts": _amounts,
+        "p6_rejected": lambda s, d: units.run_rejected(table(s, d, "runs"), table(s, d, "fx"), table(s, d, "common_units")),
     }
 
 
