@@ -16,7 +16,6 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.session import cut
@@ -51,15 +50,19 @@ def occurrences(sections: DataFrame, runs: DataFrame) -> DataFrame:
     return cut(light.join(sources(runs), "run_id").select("source", "section_id", "line_no", "key"))
 
 
-def repeated_lines(lines: DataFrame, sections: DataFrame, runs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
+def source_totals(sections: DataFrame, runs: DataFrame) -> DataFrame:
+    """``source, total``: the sections of each source, those without lines too."""
+    return sections.select("section_id", "run_id").distinct().join(sources(runs), "run_id").groupBy("source").agg(F.count_distinct("section_id").alias("total"))
+
+
+def repeated_lines(lines: DataFrame, totals: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
     """The nodes of high support: ``source, key, n_docs``."""
     seen = lines.select("source", "key", "section_id").distinct().groupBy("source", "key").agg(F.count("*").alias("n_docs"))
-    return supported(seen, sections, runs, min_docs, min_share).select("source", "key", "n_docs")
+    return supported(seen, totals, min_docs, min_share).select("source", "key", "n_docs")
 
 
-def supported(seen: DataFrame, sections: DataFrame, runs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
-    """Rows whose ``n_docs`` is high for their source. Sections without lines count among a source's too."""
-    totals = sections.select("section_id", "run_id").distinct().join(sources(runs), "run_id").groupBy("source").agg(F.count_distinct("section_id").alias("total"))
+def supported(seen: DataFrame, totals: DataFrame, min_docs: int, min_share: float) -> DataFrame:
+    """Rows whose ``n_docs`` is high for their source."""
     return seen.filter(F.col("n_docs") >= min_docs).join(totals, "source").filter(F.col("n_docs") / F.col("total") >= F.lit(min_share)).drop("total")
 
 
@@ -69,27 +72,38 @@ def marked(lines: DataFrame, nodes: DataFrame) -> DataFrame:
     return lines.withColumn("salt", F.pmod(F.xxhash64("section_id"), F.lit(SALT)).cast("int")).join(salted, ["source", "key", "salt"]).drop("salt")
 
 
-def found(sections: DataFrame, runs: DataFrame) -> DataFrame:
-    """Every occurrence of a repeated line: ``section_id, line_no``."""
-    lines = occurrences(sections, runs)
-    return marked(lines, repeated_lines(lines, sections, runs)).select("section_id", "line_no").distinct()
-
-
-def blocks(sections: DataFrame, runs: DataFrame) -> DataFrame:
-    """The boilerplate blocks: ``source, block, key, n_docs``; a block is named by its least line digest.
+def _graph(sections: DataFrame, runs: DataFrame, min_docs: int, min_share: float) -> tuple[DataFrame, DataFrame]:
+    """The occurrences of the nodes (``source, section_id, line_no, key``) and the blocks (``source, key, block, n_docs``).
 
-    An edge is kept if it stands in as many documents, and in as large a share of its source's, as a node needs.
+    A block is named by its least line digest; a node without a kept edge is a block of its own.
     """
     lines = occurrences(sections, runs)
-    nodes = cut(repeated_lines(lines, sections, runs).withColumn("key", F.lower(F.hex("key"))))
-    here = marked(lines.withColumn("key", F.lower(F.hex("key"))), nodes).distinct()
+    totals = source_totals(sections, runs)
+    nodes = cut(repeated_lines(lines, totals, min_docs, min_share).withColumn("key", F.lower(F.hex("key"))))
+    here = cut(marked(lines.withColumn("key", F.lower(F.hex("key"))), nodes).select("source", "section_id", "line_no", "key").distinct())
     after = here.select("source", "section_id", (F.col("line_no") - 1).alias("line_no"), F.col("key").alias("key2"))
     pairs = here.join(after, ["source", "section_id", "line_no"]).filter(F.col("key") != F.col("key2")).select("source", "key", "key2", "section_id").distinct()
-    edges = supported(pairs.groupBy("source", "key", "key2").agg(F.count("*").alias("n_docs")), sections, runs)
+    edges = supported(pairs.groupBy("source", "key", "key2").agg(F.count("*").alias("n_docs")), totals, min_docs, min_share)
     name = lambda k: F.concat_ws(" ", "source", k)
     comps = components(edges.select(name("key").alias("a"), name("key2").alias("b")))
     named = nodes.withColumn("node", name("key")).join(comps, "node", "left")
-    return named.select("source", F.coalesce(F.substring_index("root", " ", -1), F.col("key")).alias("block"), "key", "n_docs")
+    return here, named.select("source", "key", F.coalesce(F.substring_index("root", " ", -1), F.col("key")).alias("block"), "n_docs")
+
+
+def found(sections: DataFrame, runs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
+    """Every occurrence of a line of a boilerplate block: ``section_id, line_no``."""
+    here, blocks_ = _graph(sections, runs, min_docs, min_share)
+    salted = blocks_.select("source", "key", "block", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    met = here.withColumn("salt", F.pmod(F.xxhash64("section_id"), F.lit(SALT)).cast("int")).join(salted, ["source", "key", "salt"])
+    return met.select("section_id", "line_no").distinct()
+
+
+def blocks(sections: DataFrame, runs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
+    """The boilerplate blocks: ``source, block, key, n_docs``.
+
+    An edge is kept if it stands in as many documents, and in as large a share of its source's, as a node needs.
+    """
+    return _graph(sections, runs, min_docs, min_share)[1].select("source", "block", "key", "n_docs")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -114,18 +128,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def cleaned(sections: DataFrame, runs: DataFrame) -> DataFrame:
-    """Each section once, without its repeated lines: ``section_id, text, removed``."""
+    """Each section once, without the lines of boilerplate blocks: ``section_id, text, removed``."""
     gone = found(sections, runs).groupBy("section_id").agg(F.collect_set("line_no").alias("gone"))  # bounded by the lines of one text
-
-    @F.pandas_udf("string")
-    def keep(text: pd.Series, gone: pd.Series) -> pd.Series:
-        def one(t, g):  # noqa: ANN001, ANN202
-            if t is None or g is None or not len(g):
-                return t
-            g = set(g)
-            return "\n".join(x for i, x in enumerate(t.split("\n"), 1) if i not in g)
-
-        return pd.Series([one(t, g) for t, g in zip(text, gone, strict=True)])
-
     once = sections.groupBy("section_id").agg(F.max("text").alias("text"))
-    return once.join(gone, "section_id", "left").select("section_id", keep("text", "gone").alias("text"), F.coalesce(F.size("gone"), F.lit(0)).alias("removed"))
+    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("gone", i + 1))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    return once.join(gone, "section_id", "left").select("section_id", text.alias("text"), F.coalesce(F.size("gone"), F.lit(0)).alias("removed"))

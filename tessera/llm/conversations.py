@@ -2,8 +2,8 @@
 
 The channel of a message is its run and its place is ``seq``. Redelivered messages are taken once, speaker
 spellings become roles, and runs whose conversation is broken, empty or without reciprocal replies are told
-apart. Inactivity gaps are calibrated over all messages and mark where a conversation was resumed; by the
-problem's statement they don't make a run unsound.
+apart. Inactivity gaps are calibrated over all messages and split a conversation into sessions; by the problem's
+statement they don't make a run unsound, so they don't decide what ``unsound_runs`` lists.
 
 Every grouping is by keys finer than a run first, so a run holding a third of all rows is spread over tasks.
 
@@ -21,6 +21,7 @@ BLANK = r"^(?U)\s*$"
 NOTE = r"(?is)^(?U)\s*\[[^\[\]]*\bunavailable\b[^\[\]]*\]\s*$"
 #: A gap is an inactivity if its logarithm lies this many scaled median deviations above the median.
 GAP_DEVIATIONS = 6.0
+LEAST_DEVIATION = 0.05
 
 
 def squeeze(c: Column) -> Column:
@@ -81,18 +82,43 @@ def unsound_runs(turns: DataFrame, runs: DataFrame) -> DataFrame:
     return soundness(turns, runs).filter(~F.col("sound")).select("run_id")
 
 
+def gap_limit(turns: DataFrame) -> DataFrame:
+    """One row, ``limit``: the logarithm of seconds above which a gap is an inactivity, from the light columns alone.
+
+    The median of the gaps' logarithms and their median deviation come out of one pass over a histogram of logarithms
+    in steps of a hundredth (about three thousand values at most, whatever the number of messages).
+    """
+    light = turns.filter("run_id is not null and seq is not null and at is not null").groupBy("run_id", "seq").agg(F.min("at").alias("at"))
+    before = light.select("run_id", (F.col("seq") + 1).alias("seq"), F.col("at").alias("before"))
+    log = F.ln((F.unix_micros(F.col("at").cast("timestamp")) - F.unix_micros(F.col("before").cast("timestamp"))) / F.lit(1e6))
+    bins = light.join(before, ["run_id", "seq"]).select(F.round(log, 2).alias("x")).filter("x is not null").groupBy("x").agg(F.count("*").alias("n"))
+    mid = bins.agg(F.percentile("x", F.lit(0.5), F.col("n")).alias("mid"))  # one row
+    dev = bins.crossJoin(F.broadcast(mid)).agg(F.max("mid").alias("mid"), F.percentile(F.abs(F.col("x") - F.col("mid")), F.lit(0.5), F.col("n")).alias("dev"))  # one row
+    return dev.select((F.col("mid") + GAP_DEVIATIONS * 1.4826 * F.greatest("dev", F.lit(LEAST_DEVIATION))).alias("limit"))
+
+
 def conversations(turns: DataFrame, runs: DataFrame) -> DataFrame:
-    """The messages of the sound runs in order, with ``resumed`` where a calibrated inactivity gap precedes.
+    """The messages of the sound runs in order, with ``session``, counted up where a calibrated inactivity gap precedes.
 
-    One row per message (run_id, seq, role, round, at, text, gap_s, resumed): a conversation of any length
-    needs no task of its own. The predecessor is met by an equi-join on (run, seq), not by a window per run.
+    One row per message (run_id, session, seq, role, round, at, text, gap_s): a conversation of any length needs no
+    task of its own for its texts. The predecessor is met by an equi-join on (run, seq), and the sessions are numbered
+    over the few messages that begin one.
     """
     said = messages(turns).drop("digest").join(soundness(turns, runs).filter("sound").select("run_id"), "run_id", "left_semi")
-    before = said.select("run_id", (F.col("seq") + 1).alias("seq"), F.col("at").alias("before"))
+    light = turns.filter("run_id is not null and seq is not null").groupBy("run_id", "seq").agg(F.min("at").alias("at"))
+    before = light.select("run_id", (F.col("seq") + 1).alias("seq"), F.col("at").alias("before"))
     gap = F.unix_micros(F.col("at").cast("timestamp")) - F.unix_micros(F.col("before").cast("timestamp"))
-    steps = said.join(before, ["run_id", "seq"], "left").withColumn("gap_s", gap / F.lit(1e6)).drop("before")
-    log = F.when(F.col("gap_s") > 0, F.ln("gap_s"))
-    centre = steps.agg(F.percentile_approx(log, 0.5, 10_000).alias("mid"))
-    spread = steps.crossJoin(F.broadcast(centre)).agg(F.max("mid").alias("mid"), F.percentile_approx(F.abs(log - F.col("mid")), 0.5, 10_000).alias("dev"))  # one row
-    limit = spread.select((F.col("mid") + GAP_DEVIATIONS * 1.4826 * F.col("dev")).alias("limit"))
-    return steps.crossJoin(F.broadcast(limit)).withColumn("resumed", F.coalesce(log > F.col("limit"), F.lit(False))).drop("limit")
+    steps = light.join(before, ["run_id", "seq"]).select("run_id", "seq", (gap / F.lit(1e6)).alias("gap_s")).crossJoin(F.broadcast(gap_limit(turns)))
+    over = steps.filter(F.when(F.col("gap_s") > 0, F.ln("gap_s")) > F.col("limit"))
+    begins = over.groupBy("run_id").agg(F.sort_array(F.collect_set("seq")).alias("begins"))  # the rare gaps of one run
+    held = said.join(steps.select("run_id", "seq", "gap_s"), ["run_id", "seq"], "left").join(begins, "run_id", "left")
+    session = F.coalesce(F.size(F.filter("begins", lambda b: b <= F.col("seq"))), F.lit(0)) + 1
+    return held.select("run_id", F.when(F.col("begins").isNull(), 1).otherwise(session).alias("session"), "seq", "role", "round", "at", "text", "gap_s")
+
+
+def replies(turns: DataFrame, runs: DataFrame) -> DataFrame:
+    """``run_id, session, messages, roles, reciprocal``: of every session of the sound runs, whether two debaters speak in it."""
+    said = conversations(turns, runs)
+    spoke = F.collect_set(F.when(F.col("role").isin(*DEBATERS), F.col("role")))
+    per = said.groupBy("run_id", "session").agg(F.count("*").alias("messages"), F.sort_array(spoke).alias("roles"))
+    return per.withColumn("reciprocal", F.size("roles") >= 2)

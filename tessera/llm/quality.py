@@ -1,8 +1,8 @@
 """Per-document text quality statistics, and which documents are natural prose.
 
-Tables and lists show in vertical delimiter alignment, indentation periodicity and line-length
-autocorrelation; word, symbol and punctuation ratios tell the rest. The statistics are computed over whole
-texts, one pass, no shuffle. A softmax regression over them is trained here on the checked sample
+Tables and lists show in vertical delimiter alignment (delimiters at the same columns of consecutive lines, or as
+many fields a line), indentation periodicity and line-length autocorrelation over several lags; word, symbol and
+punctuation ratios tell the rest. The statistics are computed over whole texts, one pass, no shuffle. A softmax regression over them is trained here on the checked sample
 (at most ``MAX_LABELLED`` rows, those of the lowest hash) and applied to every document.
 
 Defined results: null and blank texts have zero statistics and are of no kind; repeated labels count once,
@@ -46,7 +46,7 @@ LISTED = re.compile(r"[ \t]*(?:[-*•+–]\s|\d{1,3}[.)]\s)")
 NAMES = (
     "n_chars", "n_words", "n_lines", "mean_word_length", "symbol_ratio", "code_symbol_ratio", "digit_ratio", "upper_ratio", "punct_line_share", "common_share", "unique_word_share",
     "mean_line_length", "bullet_share", "blank_share", "indent_share", "delimiter_alignment", "indent_period", "length_autocorrelation", "length_spread", "code_word_ratio", "snake_ratio",
-    "odd_ratio", "compressibility", "prose_share", "sentence_rate", "listing_share",
+    "odd_ratio", "compressibility", "prose_share", "sentence_rate", "listing_share", "column_alignment", "length_period",
 )
 
 
@@ -71,6 +71,9 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 BITS, UPPER = _tables()
+#: What parts the fields of a line; lags that periodicity is looked for at.
+DELIMITERS = np.array([ord(c) for c in ",;|\t:"], np.uint32)
+LAGS = 8
 POINTS = np.array([ord(c) for c in ".!?。！？।؟"], np.uint32)
 
 
@@ -96,6 +99,34 @@ def _prose_line(line: str, thai: bool, cjk: bool) -> bool:
     return "    " not in bare and "\t" not in bare and sum(map(line.count, "{}=<>_\\|;[]")) <= 0.02 * len(line) + 1
 
 
+def column_alignment(cp: np.ndarray) -> float:
+    """Share of the delimiters that stand at the same column as the same delimiter of the line before.
+
+    Delimiters are the marks of ``DELIMITERS`` and the ends of runs of two or more spaces (a column of padded text);
+    the white space a line begins with isn't one.
+    """
+    breaks = np.flatnonzero(cp == 10)
+    starts = np.concatenate([[0], breaks + 1])
+    space = cp == 32
+    gap_end = np.zeros(len(cp), bool)
+    gap_end[2:] = space[:-2] & space[1:-1] & ~space[2:] & (cp[2:] != 10)
+    at = np.flatnonzero(np.isin(cp, DELIMITERS) | gap_end)
+    if len(at) < 3:
+        return 0.0
+    line = np.searchsorted(breaks, at)
+    ink = ~(space | (cp == 9))
+    seen = np.cumsum(ink)
+    begun = seen[at] - ink[at] > np.where(starts[line] > 0, seen[starts[line] - 1], 0)
+    at, line = at[begun], line[begun]
+    if len(at) < 3:
+        return 0.0
+    width = int(np.max(np.diff(np.concatenate([starts, [len(cp) + 1]])))) + 1
+    mark = np.where(np.isin(cp[at], DELIMITERS), cp[at], 32).astype(np.int64)
+    key = (line.astype(np.int64) * width + (at - starts[line])) * 0x110000 + mark
+    met = np.isin(key - np.int64(width) * 0x110000, key, assume_unique=True)
+    return float(np.count_nonzero(met)) / len(at)
+
+
 def features(text: str | None) -> list[float]:
     """The statistics of ``NAMES`` for one text."""
     if text is None or not text.strip():
@@ -142,6 +173,8 @@ def features(text: str | None) -> list[float]:
                 mode = np.bincount(np.minimum(some, 999)).argmax()
                 alignment = max(alignment, float(np.count_nonzero(counts == mode)) / n_full * min(1.0, mode / 2))
 
+    columns = column_alignment(cp)
+
     def auto(x: np.ndarray, lags: int) -> float:
         """The greatest autocorrelation over lags up to ``lags``."""
         y = x - x.sum() / len(x)
@@ -150,14 +183,14 @@ def features(text: str | None) -> list[float]:
             return 0.0
         return max((float(y[k:] @ y[:-k]) / power for k in range(1, min(lags, len(y) - 3) + 1)), default=0.0)
 
-    period = auto(indents, 8) if indented else 0.0
+    period = auto(indents, LAGS) if indented else 0.0
     sample = text.encode("utf-8", "surrogatepass")
     squeezed = len(zlib.compress(sample, 1)) / len(sample)
     ends = int(np.count_nonzero(((b[1:] & 1) > 0) & np.isin(cp[:-1], POINTS))) + int(np.count_nonzero(np.isin(cp, POINTS[3:])))
     return [
         float(n), float(n_words), float(len(lines)), sum(map(len, words)) / n_words, (n - space - letter - digit) / ink, code / ink, digit / ink, upper / max(1, letter), ended / n_full, common / n_words, len(set(low)) / n_words,
         float(lengths.mean()), bullets / n_full, 1 - n_full / len(lines), indented / n_full, alignment, period, auto(lengths, 1), float(lengths.std() / lengths.mean()),
-        keywords / n_words, names / n_words, odd / ink, squeezed, prose, ends / (n / 100), listing,
+        keywords / n_words, names / n_words, odd / ink, squeezed, prose, ends / (n / 100), listing, columns, auto(lengths, LAGS),
     ]
 
 
@@ -221,7 +254,7 @@ def train(documents: DataFrame, doc_labels: DataFrame) -> tuple[np.ndarray, np.n
     known = doc_labels.filter(F.lower(F.trim("kind")).isin(list(KINDS))).groupBy("doc_id").agg(F.min(F.lower(F.trim("kind"))).alias("kind"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
     known = bounded(known, MAX_LABELLED)  # so the documents' texts need no shuffle
-    got = statistics(documents.join(known.select("doc_id"), "doc_id", "left_semi")).join(known, "doc_id").filter("n_words > 0").orderBy("doc_id").toPandas()
+    got = statistics(documents.join(known.select("doc_id"), "doc_id", "left_semi")).join(known, "doc_id").filter("n_words > 0").toPandas().sort_values("doc_id")  # sorted here: Spark would read the texts once more to sample
     if got.kind.nunique() < 2 or "prose" not in set(got.kind):
         return None
     return fit(got[list(NAMES)].to_numpy(), list(got.kind))

@@ -32,6 +32,7 @@ def queries() -> dict[str, Query]:
         "p1_limits": lambda s, d: _truncation(s, d).limits(),
         "p2_found": lambda s, d: conversations.unsound_runs(table(s, d, "turns"), table(s, d, "runs")),
         "p2_conversations": lambda s, d: conversations.conversations(table(s, d, "turns"), table(s, d, "runs")),
+        "p2_sessions": lambda s, d: conversations.replies(table(s, d, "turns"), table(s, d, "runs")),
         "p4_found": lambda s, d: splitting.oversized(table(s, d, "sections"), table(s, d, "size_limits")),
         "p4_pieces": lambda s, d: splitting.pieces(table(s, d, "sections"), table(s, d, "size_limits")),
         "p5_found": lambda s, d: sentences.sentences(table(s, d, "sections")),

@@ -3,7 +3,8 @@
 A recursive hierarchy of separators (section, paragraph, line, sentence, word, character) breaks a text into
 parts under the budget (limit less overlap); parts are then packed greedily up to it, and each piece but the
 first is led by the last characters of its predecessor. Limits are in characters or UTF-8 bytes. A cut by
-characters spares combining marks where it can.
+characters spares combining marks where it can. Sentences are those of ``sentences``, so an abbreviation ends none
+and Thai is cut at its spaces.
 
 Defined results: null and empty texts give no pieces; a text within its limit is one piece; an item without a
 limit (no row of its form and no ``*`` row) is one piece; repeated rows are split once; the pieces' own parts
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,14 +23,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.session import bounded
 
+from .sentences import sentence_ends
+
 MAX_LIMITS = 10_000
 
+SENTENCE = "sentence"
+AFTER = re.compile(r"\s*")
 #: Boundaries from strong to weak; each pattern ends where a cut may be made.
 LEVELS = [
     re.compile(r"\n[ \t\r\xa0]*\n[ \t\r\xa0]*\n\s*|\n(?=#{1,6} )"),
     re.compile(r"\n[ \t\r\xa0]*\n\s*"),
     re.compile(r"\n"),
-    re.compile(r"(?:[.!?…]+[\"'”’»)\]]*(?=\s)|[。！？｡]+[」』”’）】]*|[।॥؟]+[\"”»)]*)\s*"),
+    SENTENCE,
     re.compile(r"\s+"),
 ]
 
@@ -40,7 +46,7 @@ def form_key(c: Column) -> Column:
 def with_limits(sections: DataFrame, size_limits: DataFrame) -> DataFrame:
     """Sections with ``unit, max_size, overlap`` of their form, else of ``*``."""
     kind = size_limits.filter(F.lower(F.trim("item_kind")) == "section")
-    named = kind.groupBy(form_key(F.coalesce("form", F.lit("*"))).alias("fk")).agg(F.first(F.struct("unit", "max_size", "overlap")).alias("lim"))
+    named = kind.groupBy(form_key(F.coalesce("form", F.lit("*"))).alias("fk")).agg(F.min(F.struct("max_size", "overlap", "unit")).alias("lim"))  # of several, the smallest
     star = bounded(named.filter("fk = '*'").select(F.col("lim").alias("star")), 1)
     keyed = sections.withColumn("fk", form_key(F.col("form"))).join(bounded(named.filter("fk <> '*'"), MAX_LIMITS), "fk", "left").join(star, how="left")
     lim = F.coalesce("lim", "star")
@@ -70,8 +76,20 @@ def split_text(text: str, max_size: int, overlap: int, in_bytes: bool) -> Iterat
     overlap = max(0, min(overlap, max_size - widest))
     budget = max_size - overlap
 
+    ends: list[int] = []
+
+    def cuts(lo: int, hi: int, level: int) -> Iterator[int]:
+        if LEVELS[level] != SENTENCE:
+            for m in LEVELS[level].finditer(text, lo, hi):
+                yield m.end()
+            return
+        if not ends:  # of the whole text, once
+            ends.extend(AFTER.match(text, e).end() for e in sentence_ends(text))
+            ends.append(n)
+        yield from ends[bisect_right(ends, lo) : bisect_left(ends, hi)]
+
     def parts(lo: int, hi: int, level: int) -> Iterator[tuple[int, int]]:
-        # an explicit stack: depth is the number of levels, whatever the text
+        # recursion is as deep as there are levels, whatever the text
         if at(hi) - at(lo) <= budget:
             yield lo, hi
         elif level == len(LEVELS):
@@ -90,10 +108,10 @@ def split_text(text: str, max_size: int, overlap: int, in_bytes: bool) -> Iterat
                 lo = end
         else:
             start = lo
-            for m in LEVELS[level].finditer(text, lo, hi):
-                if start < m.end() < hi:
-                    yield from parts(start, m.end(), level + 1)
-                    start = m.end()
+            for at_ in cuts(lo, hi, level):
+                if start < at_ < hi:
+                    yield from parts(start, at_, level + 1)
+                    start = at_
             if start < hi:
                 yield from parts(start, hi, level + 1)
 

@@ -36,7 +36,9 @@ def test_order_roles_and_gaps(spark):
     one = sorted((x.seq, x.role) for x in got if x.run_id == 41)
     assert one == [(1, "research"), (2, "bull"), (3, "bear"), (4, "judge")]
     # gaps are all alike but one, and the calibrated limit lies between
-    assert {(x.run_id, x.seq) for x in got if x.resumed} == {(50, 3)}
+    assert {(x.run_id, x.seq) for x in got if x.session == 2} == {(50, 3), (50, 4)} and {x.session for x in got} == {1, 2}
+    r = C.replies(turns(spark, list(reversed(t))), runs(spark, [(i, "done") for i in range(40, 60)])).collect()
+    assert {(x.run_id, x.session, x.messages, x.reciprocal) for x in r if x.run_id in (41, 50)} == {(41, 1, 4, True), (50, 1, 2, False), (50, 2, 2, True)}
 
 
 def test_empty_and_long(spark):

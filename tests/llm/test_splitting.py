@@ -59,3 +59,8 @@ def test_empty(spark, limits):
     none = limits.filter("item_kind = 'none'")
     assert S.oversized(sections(spark, [(1, "10-K", "x" * 99)]), none).count() == 0
     assert S.pieces(sections(spark, [(1, "10-K", "x" * 99)]), none).count() == 1
+
+
+def test_sentences_are_cut_where_they_end():
+    text = "We met Dr. Smith at noon today. He left at one. It rained."
+    assert [text[a:b] for _, a, b in S.split_text(text, 34, 0, False)] == ["We met Dr. Smith at noon today. ", "He left at one. It rained."]
