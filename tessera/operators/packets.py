@@ -19,7 +19,22 @@ TICKER = r"^[A-Z]{1,5}(\.[A-Z])?$"
 SCALE = r"(?i)\b(thousand|million|billion)s?\b"
 FIGURE = r"(?i)\$\s?\d|\d+(?:\.\d+)?\s?%|\d+(?:\.\d+)?x\b"
 # Words that tell what a business does.
-ARCHETYPES = {"logistics": r"(?i)\b(freight|depots?|cold-chain|terminal|harbour)\b", "finance": r"(?i)\b(interest income|lending|claims reserve|hedging)\b", "retail": r"(?i)\b(retail|same-store|seasonal|price list)\b"}
+ARCHETYPES = {
+    "semis_hardware": r"semiconductors?|\bchips?\b|wafers?|foundr(?:y|ies)|integrated circuits?|microcontrollers?|\banalog\b|processors?|memory products|networking silicon",
+    "software": r"\bsoftware\b|\bsaas\b|subscription software|cloud platform|licen[cs]es? (?:revenue|fees)|enterprise applications?",
+    "consumer_retail_restaurant": r"restaurants?|retail stores?|\bstores\b|merchandise|apparel|grocer(?:y|ies)|e-?commerce retail|franchis",
+    "bank": r"\bbank(?:ing)?\b|deposits|\bloans\b|net interest income|lending",
+    "insurer": r"\binsurance\b|premiums|underwriting|policyholders?|reinsurance",
+    "reit": r"real estate investment trust|\breit\b|rental income|tenants|leases? (?:of|to) (?:office|industrial|retail) (?:space|properties)",
+    "energy_commodity": r"\boil\b|natural gas|crude|refin(?:ing|ery)|petroleum|\blng\b|upstream|mining|\bcopper\b|\bcoal\b",
+    "pharma_biotech": r"pharmaceuticals?|\bdrugs?\b|therapeutics?|biologics?|clinical (?:trials?|stage)|vaccines?",
+    "industrial": r"aerospace|defen[cs]e systems|machinery|industrial equipment|engines|construction equipment|manufactur(?:es|ing) (?:of )?(?:equipment|components)",
+    "utility": r"\butilit(?:y|ies)\b|electricity generation|regulated (?:electric|gas)|transmission and distribution",
+    "consumer_electronics": r"smartphones?|personal computers?|\blaptops?\b|tablets?|wearables?|headphones|televisions?|consumer electronics|game consoles?|smart home",
+    "internet_media": r"advertising|search engine|social (?:network|media)|streaming|digital content|online marketplace|\bpublishing\b",
+    "payments_fintech": r"payment (?:network|processing|services)|card (?:network|issuing)|merchant acquiring|\bfintech\b|interchange",
+    "telecom": r"wireless|broadband|telecommunications|spectrum|cable television|fiber network",
+}
 
 
 def document_scale(packets: DataFrame, key: str, text: str) -> DataFrame:
@@ -63,10 +78,11 @@ def tagged_lines(lines: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def archetype(text: Column) -> Column:
-    """The kind of business most of the vocabulary speaks of, the first on ties; null without a hit."""
-    hits = [(k, F.regexp_count(text, F.lit(p))) for k, p in ARCHETYPES.items()]
-    top = F.greatest(*[h for _, h in hits])
-    return F.when(top > 0, F.coalesce(*[F.when(h == top, F.lit(k)) for k, h in hits]))
+    """The kind of business most of the vocabulary speaks of, the last by name on ties; null without a hit."""
+    low = F.lower(text)
+    hits = F.array(*[F.struct(F.regexp_count(low, F.lit(p)).alias("n"), F.lit(k).alias("kind")) for k, p in ARCHETYPES.items()])
+    best = F.array_max(hits)
+    return F.when(best["n"] > 0, best["kind"])
 
 
 def headline_share(title: Column, text: Column) -> Column:

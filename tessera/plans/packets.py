@@ -98,18 +98,18 @@ def queries() -> dict:
 
 STOPS = "[" + ", ".join(f"'{w}'" for w in STOP) + "]"
 WORDS = f"list_filter(list_distinct(regexp_extract_all(lower(risk_title), '([a-z0-9]{{2,}})', 1)), lambda w: NOT list_contains({STOPS}, w))"
-HITS = {k: f"len(regexp_extract_all(text, '{p}'))" for k, p in K.ARCHETYPES.items()}
+HITS = [f"{{'n': len(regexp_extract_all(lower(text), '{p}')), 'kind': '{k}'}}" for k, p in K.ARCHETYPES.items()]
 
 
 def oracle_sql() -> dict[str, str]:
-    top = f"greatest({', '.join(HITS.values())})"
+    top = f"list_max([{', '.join(HITS)}])"
     return {
         "ticker_shapes": "SELECT coalesce(regexp_full_match(ticker, '[A-Z]{1,5}(\\.[A-Z])?'), false) AS valid, count(*) AS n FROM (SELECT DISTINCT id, upper(trim(ticker)) AS ticker FROM runs) GROUP BY 1",
         "document_scales": r"""WITH p AS (SELECT DISTINCT id AS run_id, evidence FROM runs WHERE evidence IS NOT NULL), s AS (SELECT run_id, evidence, list_distinct(list_filter(list_transform(list_filter(string_split(evidence, chr(10)), lambda x: regexp_matches(x, '^(\[|--)')), lambda x: lower(regexp_extract(x, '(?i)\b(thousand|million|billion)s?\b', 1))), lambda x: x <> '')) AS l FROM p)
 SELECT run_id, CASE WHEN len(l) = 1 THEN l[1] END AS scale FROM s""",
         "best_facts": f"WITH {LINES} SELECT run_id, label, CAST(x.o AS INT) AS ord, x.v AS value, copies FROM (SELECT run_id, label, min({{'r': CASE WHEN source_tag IS NULL THEN 1 ELSE 0 END, 'o': ord, 'v': value}}) AS x, count(*) AS copies FROM lines GROUP BY run_id, label)",
         "proportional_caps": f"WITH {LINES}, t AS (SELECT run_id, sum(length(line)) AS total FROM lines GROUP BY run_id) SELECT l.run_id, CAST(ord AS INT) AS ord, CAST(CASE WHEN total <= 200 THEN length(line) ELSE floor(length(line) * 200 / total) END AS INT) AS keep FROM lines l JOIN t ON t.run_id = l.run_id",
-        "archetypes": f"SELECT archetype, count(*) AS n FROM (SELECT DISTINCT section_id, CASE WHEN {top} = 0 THEN NULL " + " ".join(f"WHEN {h} = {top} THEN '{k}'" for k, h in HITS.items()) + " END AS archetype FROM sections WHERE text IS NOT NULL) GROUP BY 1",
+        "archetypes": f"SELECT CASE WHEN x.n > 0 THEN x.kind END AS archetype, count(*) AS n FROM (SELECT DISTINCT section_id, {top} AS x FROM sections WHERE text IS NOT NULL) GROUP BY 1",
         "stale_sections": """WITH r AS (SELECT id AS run_id, min(started_at) AS s FROM runs WHERE started_at IS NOT NULL GROUP BY id) SELECT section_id, x.run_id FROM (SELECT DISTINCT section_id, run_id, filing_date FROM sections WHERE filing_date IS NOT NULL) x JOIN r ON r.run_id = x.run_id
 WHERE (year(s) - year(filing_date)) * 12 + month(s) - month(filing_date) > 7""",
         "like_titles": f"""WITH r AS (SELECT id AS run_id, min(upper(trim(ticker))) AS ticker FROM runs WHERE ticker IS NOT NULL GROUP BY id), x AS (SELECT DISTINCT ticker, risk_title, {WORDS} AS w FROM sections JOIN r USING (run_id) WHERE risk_title IS NOT NULL)

@@ -12,22 +12,31 @@ NOW = "2026-11-01"
 
 
 def _items(s: SparkSession, d: str) -> DataFrame:
-    """Sections as items of a feed: source, title, publisher, date and text."""
+    """Sections as items of a feed, with the ticker of their run."""
     t = table(s, d, "runs").filter("ticker is not null").groupBy(F.col("id").alias("run_id")).agg(F.min(F.upper(F.trim("ticker"))).alias("ticker"))
-    x = table(s, d, "sections").select("section_id", "run_id", "risk_title", "form", "filing_date", "text").distinct()
-    return x.join(t, "run_id")
+    x = table(s, d, "sections").select("section_id", "run_id", "form", "risk_title", F.col("risk_title").alias("title"), F.col("text").alias("body"), F.col("filing_date").alias("published"))
+    # scored before anything is shuffled, so that light rows meet the runs
+    light = S.scored(x, F.lit(NOW).cast("date")).select("section_id", "run_id", "form", "risk_title", F.round("score", 4).alias("score"), F.least(F.length("body"), F.lit(600)).alias("chars"))
+    return light.join(t, "run_id")
 
 
 def news_score(s: SparkSession, d: str) -> DataFrame:
-    x = _items(s, d)
-    score = S.materiality(F.col("risk_title"), F.col("text")) + S.recency(F.col("filing_date"), F.lit(NOW).cast("date"))
-    return x.select("section_id", F.round(score, 4).alias("score"))
+    return _items(s, d).select("section_id", "score").distinct()
+
+
+def news_identity(s: SparkSession, d: str) -> DataFrame:
+    """Sections that name the company of their run (as its research message does) or its ticker, and those rejected, by count."""
+    c = F.regexp_extract("text", r"lines read for (.+)\.\s*$", 1)
+    named = table(s, d, "turns").select("run_id", c.alias("company")).filter("company <> '' and run_id is not null").groupBy("run_id").agg(F.min("company").alias("company"))
+    t = table(s, d, "runs").filter("ticker is not null").groupBy(F.col("id").alias("run_id")).agg(F.min(F.upper(F.trim("ticker"))).alias("ticker")).join(named, "run_id")
+    x = table(s, d, "sections").select("section_id", "run_id", F.col("risk_title").alias("title"), F.col("text").alias("body"), F.col("filing_date").alias("published"))
+    got = S.scored(x.join(t, "run_id"), F.lit(NOW).cast("date"), "company", "ticker")
+    return got.select("section_id", (F.col("score") > S.REJECTED / 2).alias("named")).distinct().groupBy("named").agg(F.count("*").alias("n"))
 
 
 def news_select(s: SparkSession, d: str) -> DataFrame:
     x = _items(s, d).filter("risk_title is not null")
-    score = F.round(S.materiality(F.col("risk_title"), F.col("text")) + S.recency(F.col("filing_date"), F.lit(NOW).cast("date")), 4)
-    light = x.select(F.col("ticker").alias("key"), F.col("section_id").alias("id"), score.alias("score"), F.coalesce(F.upper(F.trim("form")), F.lit("?")).alias("publisher"), "risk_title", F.least(F.length("text"), F.lit(600)).alias("chars"))
+    light = x.select(F.col("ticker").alias("key"), F.col("section_id").alias("id"), "score", F.coalesce(F.upper(F.trim("form")), F.lit("?")).alias("publisher"), "risk_title", "chars")
     one = light.groupBy("key", "risk_title").agg(F.max(F.struct("score", (-F.col("id")).alias("n"), "publisher", "chars")).alias("x"))
     ready = one.select("key", (-F.col("x.n")).alias("id"), "x.score", "x.publisher", words(F.col("risk_title")).alias("words"), F.coalesce("x.chars", F.lit(0)).alias("chars"))
     return S.select(ready, 2, 0.75, 3000, 6)
@@ -119,10 +128,13 @@ def claim_rulings(s: SparkSession, d: str) -> DataFrame:
     """Claims of the judges matched one to one with the reviews of their run."""
     e = table(s, d, "run_events")
     t = nested.event_tables(e)
-    run = e.select("event_id", "run_id").distinct()
-    left = t.flat("judge_claim", []).join(run, "event_id").select(F.col("run_id").alias("key"), (F.col("event_id") * 100 + F.col("parent_pos")).cast("int").alias("pos"), F.col("item").alias("text"))
-    right = t.flat("claim_review", ["claim"]).join(run, "event_id").select(F.col("run_id").alias("key"), (F.col("event_id") * 100 + F.col("parent_pos")).cast("int").alias("pos"), F.col("claim").alias("text"))
-    return S.assign(left.filter("key is not null"), right.filter("key is not null"), 0.3)
+    run = e.filter("run_id is not null").select("event_id", F.col("run_id").alias("key")).distinct()
+    # a place is (event, position): as one number it would overflow or collide
+    at = F.struct("event_id", "parent_pos").alias("pos")
+    left = t.flat("judge_claim", []).join(run, "event_id").select("key", at, F.col("item").alias("text"))
+    right = t.flat("claim_review", ["claim"]).join(run, "event_id").select("key", at, F.col("claim").alias("text"))
+    got = S.assign(left, right, 0.3)
+    return got.select("key", F.col("pos.event_id").alias("event_id"), F.col("pos.parent_pos").alias("parent_pos"), F.col("match.event_id").alias("review_id"), F.col("match.parent_pos").alias("review_pos"), "score")
 
 
 def set_operations(s: SparkSession, d: str) -> DataFrame:
@@ -134,19 +146,27 @@ def set_operations(s: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    fs = [news_score, news_select, guidance_statements, data_gaps, coverage_counts, coverage_gate, analyst_actions_window, weighted_rating, quality_suspects, readiness_summary, growth_cross_check, stratified_sample, grade_compare, claim_rulings, set_operations]
+    fs = [news_score, news_identity, news_select, guidance_statements, data_gaps, coverage_counts, coverage_gate, analyst_actions_window, weighted_rating, quality_suspects, readiness_summary, growth_cross_check, stratified_sample, grade_compare, claim_rulings, set_operations]
     return {f.__name__: f for f in fs}
 
 
-_TOK = lambda x: f"regexp_extract_all(lower(coalesce({x}, '')), '([a-z0-9]{{2,}})', 1)"
-MAT = "least(" + " + ".join(f"CASE WHEN list_contains(a, '{t}') THEN {2 * w} WHEN list_contains(b, '{t}') THEN {w} ELSE 0.0 END" for t, w in S.MATERIAL.items()) + f", {S.CAP})"
+_TOK = lambda x: f"list_distinct(regexp_extract_all(lower(coalesce({x}, '')), '[a-z0-9]+'))"
+# the weights once more, by weight
+WEIGHTS = {1.5: "loan financing guarantee guidance acquisition acquire acquires merger downgrade downgrades lawsuit sues investigation", 0.75: "credit revenue billion", 0.5: "dividend reuters bloomberg",
+           1.0: "debt bond outlook forecast raises cuts misses beats deal contract agreement upgrade upgrades probe recall layoffs ceo resigns buyback earnings"}
+MAT = "least(4.0, " + " + ".join(f"{w} * (2 * len(list_intersect(a, {t.split()})) + len(list_filter(list_intersect(b, {t.split()}), lambda z: NOT list_contains(a, z))))" for w, t in WEIGHTS.items()) + ")"
 ITEMS = "t AS (SELECT id AS run_id, min(upper(trim(ticker))) AS ticker FROM runs WHERE ticker IS NOT NULL GROUP BY id), x AS (SELECT s.*, t.ticker FROM (SELECT DISTINCT section_id, run_id, risk_title, form, filing_date, text FROM sections) s JOIN t ON t.run_id = s.run_id)"
 COVER = """c AS (SELECT run_id, unnest(CAST(data -> '$.coverage' AS MAP(VARCHAR, BOOLEAN)).map_values()) AS ok FROM (SELECT DISTINCT event_id, run_id, data FROM run_events WHERE lower(trim(event)) = 'research') WHERE json_valid(data))"""
 
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "news_score": f"WITH {ITEMS}, w AS (SELECT section_id, filing_date, {_TOK('risk_title')} AS a, {_TOK('text')} AS b FROM x) SELECT section_id, round({MAT} + coalesce(greatest(0.0, 1.5 * (1 - date_diff('day', filing_date, DATE '{NOW}') / 30)), 0.0), 4) AS score FROM w",
+        "news_score": f"WITH {ITEMS}, w AS (SELECT section_id, filing_date, {_TOK('risk_title')} AS a, {_TOK('text')} AS b FROM x) SELECT DISTINCT section_id, round({MAT} + coalesce(greatest(0.0, 1.5 * (1 - date_diff('day', filing_date, DATE '{NOW}') / 30)), 0.0), 4) AS score FROM w",
+        "news_identity": r"""WITH c AS (SELECT run_id, min(k) AS company FROM (SELECT run_id, regexp_extract(text, 'lines read for (.+)\.\s*$', 1) AS k FROM turns WHERE run_id IS NOT NULL) WHERE k <> '' GROUP BY run_id),
+t AS (SELECT id AS run_id, min(upper(trim(ticker))) AS ticker FROM runs WHERE ticker IS NOT NULL GROUP BY id),
+x AS (SELECT section_id, lower(ticker) AS tick, list_distinct(regexp_extract_all(lower(coalesce(risk_title, '') || ' ' || coalesce(text, '')), '[a-z0-9]+')) AS w,
+      list_filter(list_distinct(regexp_extract_all(lower(company), '[a-z0-9]+')), lambda z: length(z) > 2 AND NOT list_contains(['inc', 'corp', 'corporation', 'company', 'ltd', 'limited', 'plc', 'llc', 'the', 'group', 'holdings'], z)) AS n FROM sections JOIN t USING (run_id) JOIN c USING (run_id))
+SELECT named, count(*) AS n FROM (SELECT DISTINCT section_id, len(n) = 0 OR len(list_intersect(n, w)) > 0 OR (list_contains(w, tick) AND length(tick) >= 3) AS named FROM x) GROUP BY named""",
         "data_gaps": r"""WITH e AS (SELECT id, unnest(regexp_extract_all(evidence, '\[[a-z ]+ unavailable: [^\]]*\]')) AS note FROM (SELECT DISTINCT id, evidence FROM runs WHERE evidence IS NOT NULL))
 SELECT regexp_extract(note, '\[([a-z ]+) unavailable', 1) AS what, regexp_extract(note, 'unavailable: ([^\]]*)\]', 1) AS why, count(DISTINCT id) AS runs FROM e GROUP BY 1, 2""",
         "coverage_counts": f"WITH {COVER} SELECT run_id, count(*) AS asked, count(*) FILTER (ok) AS covered FROM c GROUP BY run_id",
