@@ -194,7 +194,7 @@ def stamped(traced: DataFrame, turns: DataFrame) -> DataFrame:
         def one(t, claims):  # noqa: ANN001, ANN202
             if t is None or claims is None or not len(claims):
                 return t
-            rx = re.compile(r"(?<![\d.\-–])(?:" + "|".join(re.escape(c) for c in sorted(claims, key=len, reverse=True)) + r")(?![\w%])")
+            rx = re.compile(r"(?<![\d.\-–])(?:" + "|".join(re.escape(c) for c in sorted(claims, key=len, reverse=True)) + r")(?![A-Za-z0-9_%])")
             return "".join(p if p.startswith("[") else rx.sub(lambda m: m[0] + " [UNGROUNDED]", p) for p in re.split(r"(\[[^\]]*\])", t))
 
         return pd.Series([one(t, b) for t, b in zip(text, bad, strict=True)])

@@ -111,7 +111,7 @@ def stamp(text: str, flagged: list[str], mislabeled: list[str], sentences: list[
     note = {**dict.fromkeys(flagged, "UNGROUNDED — no evidence anchor"), **dict.fromkeys(mislabeled, "MISLABELED — another period in the evidence")}
     if not note:
         return text
-    rx = re.compile(r"(?<![\d.\-–])(" + "|".join(re.escape(c) for c in sorted(note, key=len, reverse=True)) + r")(?![\w%])")
+    rx = re.compile(r"(?<![\d.\-–])(" + "|".join(re.escape(c) for c in sorted(note, key=len, reverse=True)) + r")(?![A-Za-z0-9_%])")
     return "".join(p if p.startswith("[") else rx.sub(lambda m: f"{m[1]} [{note[m[1]]}]", p) for p in re.split(r"(\[[^\]]*\])", text))
 
 

@@ -90,6 +90,10 @@ def oracle_sql() -> dict[str, str]:
     w = lambda x: f"list_filter(list_distinct(regexp_extract_all(lower({x}), '([a-z0-9]{{2,}})', 1)), lambda w: NOT list_contains({STOPS}, w))"
     names = ", ".join(f"('{x}')" for x in WANTED)
     return {
+        "evidence_carry": """WITH p AS (SELECT DISTINCT id AS run_id, evidence FROM runs WHERE evidence IS NOT NULL), l AS (SELECT run_id, unnest(string_split(evidence, chr(10))) AS line, generate_subscripts(string_split(evidence, chr(10)), 1) AS pos FROM p),
+g AS (SELECT *, starts_with(line, '[') OR starts_with(line, '--') AS h, count(*) FILTER (starts_with(line, '[') OR starts_with(line, '--')) OVER (PARTITION BY run_id ORDER BY pos) AS g FROM l),
+c AS (SELECT *, max(CASE WHEN h THEN line END) OVER (PARTITION BY run_id, g) AS head, count(*) FILTER (NOT h) OVER (PARTITION BY run_id, g ORDER BY pos) AS n FROM g)
+SELECT run_id, count(*) AS n_lines, count(CASE WHEN n <= 12 THEN head END) AS n_headed, count(DISTINCT CASE WHEN n <= 12 THEN head END) AS headings FROM c WHERE NOT h GROUP BY run_id""",
         "statement_tables": _expected(),
         "statement_periods": "SELECT * FROM (VALUES ('Three Months Ended July 4, 2026', 'quarter', DATE '2026-07-04'), ('Three Months Ended July 5, 2025', 'quarter', DATE '2025-07-05'), ('Six Months Ended July 4, 2026', 'YTD (H1)', DATE '2026-07-04'), ('Six Months Ended July 5, 2025', 'YTD (H1)', DATE '2025-07-05')) t(heading, period, ended)",
         "statement_kinds": "SELECT * FROM (VALUES (0, 'income'), (1, '')) t(tbl, kinds)",

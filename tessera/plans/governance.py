@@ -204,7 +204,9 @@ def claim_trace_cases(s: SparkSession, d: str) -> DataFrame:
 
 
 def stamp_flagged(s: SparkSession, d: str) -> DataFrame:
-    return C.stamped(_traced(s, d), table(s, d, "turns"))
+    """The texts with their flagged claims stamped: how many claims, and the digest of the text with the stamps taken out again."""
+    got = C.stamped(_traced(s, d), table(s, d, "turns"))
+    return got.select("turn_id", "tags", F.md5(F.replace(F.col("text"), F.lit(" [UNGROUNDED]"), F.lit(""))).alias("digest"), (F.length("text") > F.length(F.replace(F.col("text"), F.lit(" [UNGROUNDED]"), F.lit("")))).alias("stamped"))
 
 
 HEADINGS = ["13 Weeks Ended July 4, 2026", "Six Months", "Nine Months Ended", "Year Ended December 31, 2025", "Growth", "TTM", "Forward P/E", "July 4, 2026", "Q2 2026", "FY2025", "Change", "O/(U)", "", "26 weeks"]
@@ -267,8 +269,8 @@ FROM need n LEFT JOIN known k ON k.run_id = n.run_id AND k.canon = n.canon GROUP
 
 #: Sentences without look-behind: the break is marked first, then split at.
 SQL_SENTENCES = r"""said AS (SELECT DISTINCT run_id, id AS turn_id, text FROM turns WHERE text IS NOT NULL),
-sentences AS (SELECT run_id, turn_id, text, trim(x) AS sentence, row_number() OVER (PARTITION BY run_id, turn_id, text ORDER BY k) - 1 AS pos FROM (
-  SELECT run_id, turn_id, text, unnest(l) AS x, generate_subscripts(l, 1) AS k FROM (SELECT *, string_split(regexp_replace(regexp_replace(text, '([.!?])\s+([A-Z0-9$(])', '\1' || chr(30) || '\2', 'g'), '([.!?])\s+([A-Z0-9$(])', '\1' || chr(30) || '\2', 'g'), chr(30)) AS l FROM said)) WHERE trim(x) <> '')"""
+sentences AS (SELECT run_id, turn_id, text, trim(x, ' ') AS sentence, row_number() OVER (PARTITION BY run_id, turn_id, text ORDER BY k) - 1 AS pos FROM (
+  SELECT run_id, turn_id, text, unnest(l) AS x, generate_subscripts(l, 1) AS k FROM (SELECT *, string_split(regexp_replace(regexp_replace(text, '([.!?])\s+([A-Z0-9$(])', '\1' || chr(30) || '\2', 'g'), '([.!?])\s+([A-Z0-9$(])', '\1' || chr(30) || '\2', 'g'), chr(30)) AS l FROM said)) WHERE trim(x, ' ') <> '')"""
 GOVERNED = """SELECT CAST(turn_id AS BIGINT) AS turn_id, claims, cited, flagged, mislabeled, scenario, absence, advice, disclaimed, status, text FROM (VALUES
 (1, 2, 2, 0, 0, 0, 0, 0, true, 'clean', 'The cap of $4.74 trillion is 38.61 times trailing earnings. This is research, not financial advice.'),
 (2, 2, 0, 2, 0, 0, 0, 1, true, 'annotated', 'Upside of 20-50% [UNGROUNDED — no evidence anchor] rests on 64% [UNGROUNDED — no evidence anchor] growth. Investors should buy. Not investment advice. You should wait.'),
@@ -282,6 +284,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "numeric_claim_trace": f"{TRACED} SELECT * FROM traced",
         "grounding_by_run": f"{TRACED} SELECT run_id, count(*) AS claims, count(*) FILTER (status = 'CITED') AS cited, round(count(*) FILTER (status = 'CITED') * 100.0 / count(*), 2) AS grounding_pct FROM traced GROUP BY run_id",
+        "stamp_flagged": f"{TRACED} SELECT turn_id, CAST(count(DISTINCT claim) AS INT) AS tags, md5(max(text)) AS digest, true AS stamped FROM traced JOIN (SELECT DISTINCT id AS turn_id, text FROM turns WHERE text IS NOT NULL) USING (turn_id) WHERE status = 'FLAGGED' GROUP BY turn_id",
         "anchor_set_forms": f"WITH {LINES}, {MARKS} SELECT run_id, CAST(ord AS INT) AS ord, canon FROM marks",
         "evidence_packet_lines": f"WITH {LINES} SELECT run_id, CAST(ord AS INT) AS ord, label, value, source_tag FROM lines",
         "figure_sources_top1": f"""WITH {LINES}, {MARKS}, {CLAIMS},

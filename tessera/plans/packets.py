@@ -9,7 +9,9 @@ from tessera.functions.text import STOP
 from tessera.operators import claims as C, nested, packets as K
 from tessera.session import table
 
+from .corpus import TREES
 from .governance import LINES
+from .texts import ONE_TEXT, sql_split
 
 
 def _packets(s: SparkSession, d: str) -> DataFrame:
@@ -104,6 +106,15 @@ HITS = [f"{{'n': len(regexp_extract_all(lower(text), '{p}')), 'kind': '{k}'}}" f
 def oracle_sql() -> dict[str, str]:
     top = f"list_max([{', '.join(HITS)}])"
     return {
+        "figure_excerpts": f"""WITH {sql_split(ONE_TEXT)}, f AS (SELECT *, regexp_matches(sentence, '(?i)[$]\\s?[0-9]|[0-9]+(?:\\.[0-9]+)?\\s?%|[0-9]+(?:\\.[0-9]+)?x\\b') AS figure FROM sent),
+u AS (SELECT *, sum(length(sentence)) OVER (PARTITION BY section_id ORDER BY figure DESC, pos) AS used FROM f) SELECT section_id, CAST(pos AS INT) AS pos, figure FROM u WHERE used <= CASE WHEN figure THEN 900 ELSE 600 END""",
+        "headline_matches": f"""WITH {sql_split("SELECT DISTINCT section_id, text FROM sections WHERE text IS NOT NULL AND risk_title IS NOT NULL")}, lead AS (SELECT section_id, array_to_string(s[1:2], ' ') AS lead FROM parts),
+w AS (SELECT DISTINCT section_id, {WORDS} AS t, list_filter(list_distinct(regexp_extract_all(lower(lead), '([a-z0-9]{{2,}})', 1)), lambda w: NOT list_contains({STOPS}, w)) AS l FROM (SELECT DISTINCT section_id, risk_title FROM sections WHERE text IS NOT NULL AND risk_title IS NOT NULL) JOIN lead USING (section_id))
+SELECT matches, count(*) AS n FROM (SELECT DISTINCT section_id, round(CASE WHEN len(t) > 0 THEN CAST(len(list_intersect(t, l)) AS DOUBLE) / len(t) END, 4) AS share, round(CASE WHEN len(t) > 0 THEN CAST(len(list_intersect(t, l)) AS DOUBLE) / len(t) END, 4) >= 0.5 AS matches FROM w) GROUP BY matches""",
+        "question_tags": f"""{TREES}, {LINES},
+q AS (SELECT run_id, question, min(text) AS text FROM (SELECT run_id, value ->> '$.id' AS question, value ->> '$.question' AS text FROM items JOIN (SELECT DISTINCT event_id, run_id FROM run_events) USING (event_id) WHERE entity = 'plan_question') GROUP BY run_id, question),
+a AS (SELECT DISTINCT run_id, ord, unnest({WORDS.replace('risk_title', 'label')}) AS word FROM lines), b AS (SELECT run_id, question, unnest({WORDS.replace('risk_title', 'text')}) AS word FROM q)
+SELECT run_id, CAST(ord AS INT) AS ord, question, count(*) AS shared FROM a JOIN b USING (run_id, word) GROUP BY run_id, ord, question HAVING count(*) >= 2 OR max(length(word)) >= 7""",
         "ticker_shapes": "SELECT coalesce(regexp_full_match(ticker, '[A-Z]{1,5}(\\.[A-Z])?'), false) AS valid, count(*) AS n FROM (SELECT DISTINCT id, upper(trim(ticker)) AS ticker FROM runs) GROUP BY 1",
         "document_scales": r"""WITH p AS (SELECT DISTINCT id AS run_id, evidence FROM runs WHERE evidence IS NOT NULL), s AS (SELECT run_id, evidence, list_distinct(list_filter(list_transform(list_filter(string_split(evidence, chr(10)), lambda x: regexp_matches(x, '^(\[|--)')), lambda x: lower(regexp_extract(x, '(?i)\b(thousand|million|billion)s?\b', 1))), lambda x: x <> '')) AS l FROM p)
 SELECT run_id, CASE WHEN len(l) = 1 THEN l[1] END AS scale FROM s""",

@@ -138,12 +138,15 @@ def queries() -> dict:
     return {f.__name__: f for f in fs}
 
 
+from .corpus import TREES  # noqa: E402
+
 DELAY_SQL = "CASE lower(trim(event)) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in R.DELAYS.items()) + f" ELSE {R.DELAY_ELSE} END"
 COLS = ", ".join(LIST)
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "rulings_tally": f"{TREES} SELECT confidence, CAST(count(*) FILTER (side = 'bull') AS BIGINT) AS bull, CAST(count(*) FILTER (side = 'bear') AS BIGINT) AS bear, CAST(count(*) FILTER (side = 'neither') AS BIGINT) AS neither FROM (SELECT DISTINCT item_id, value ->> '$.confidence' AS confidence, value ->> '$.stronger_side' AS side FROM items WHERE entity = 'question') GROUP BY confidence",
         "latest_run_per_ticker": "WITH r AS (SELECT DISTINCT id, upper(trim(ticker)) AS ticker, started_at FROM runs WHERE lower(trim(status)) = 'done') SELECT ticker, id, started_at FROM r WHERE started_at = (SELECT max(started_at) FROM r x WHERE x.ticker = r.ticker)",
         "run_summary_fold": """WITH e AS (SELECT DISTINCT event_id, run_id, lower(trim(event)) AS kind, data FROM run_events),
 j AS (SELECT run_id, kind, CASE WHEN json_valid(data) THEN data END AS data FROM e)

@@ -8,6 +8,8 @@ from tessera.functions.text import split_sentences, words
 from tessera.operators import nested, signals as S
 from tessera.session import table
 
+from .texts import sql_split
+
 NOW = "2026-11-01"
 
 
@@ -161,6 +163,9 @@ COVER = """c AS (SELECT run_id, unnest(CAST(data -> '$.coverage' AS MAP(VARCHAR,
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "guidance_statements": f"""WITH {sql_split("SELECT DISTINCT section_id, text FROM sections WHERE text IS NOT NULL")}
+SELECT section_id, CAST(pos AS INT) AS pos FROM sent WHERE length(sentence) BETWEEN 20 AND 500 AND regexp_matches(sentence, '(?i)\\b(expect\\w*|anticipat\\w*|outlook|guidance|forecast\\w*|project(s|ed|ion)\\w*|target\\w*|plans|planned|plan|intend\\w*)\\b')
+AND regexp_matches(sentence, '(?i)[$]\\s?[0-9]|[0-9]\\s?%|[0-9]\\s?(billion|million|thousand|percent|basis points|bps)|[0-9]x\\b') AND NOT regexp_matches(sentence, '(?i)forward-looking|safe harbou?r|compensation|lease maturit|deferred revenue|hedg\\w+ instrument|stress test|effective tax rate')""",
         "news_score": f"WITH {ITEMS}, w AS (SELECT section_id, filing_date, {_TOK('risk_title')} AS a, {_TOK('text')} AS b FROM x) SELECT DISTINCT section_id, round({MAT} + coalesce(greatest(0.0, 1.5 * (1 - date_diff('day', filing_date, DATE '{NOW}') / 30)), 0.0), 4) AS score FROM w",
         "news_identity": r"""WITH c AS (SELECT run_id, min(k) AS company FROM (SELECT run_id, regexp_extract(text, 'lines read for (.+)\.\s*$', 1) AS k FROM turns WHERE run_id IS NOT NULL) WHERE k <> '' GROUP BY run_id),
 t AS (SELECT id AS run_id, min(upper(trim(ticker))) AS ticker FROM runs WHERE ticker IS NOT NULL GROUP BY id),

@@ -159,8 +159,30 @@ COS = """q AS (SELECT vec_id, embedding, label FROM embeddings WHERE vec_id % 20
 c AS (SELECT q.vec_id AS query_id, b.vec_id AS row_id, q.label = b.label AS same, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS s FROM q JOIN embeddings b ON q.vec_id <> b.vec_id)"""
 
 
+def sql_split(source: str) -> str:
+    """CTE ``sent`` (section_id, pos, sentence, n) of the sentences of ``source``; breaks are marked, then split at, as RE2 looks not behind."""
+    mark = "'([.!?])\\s+([\"“(A-Z0-9])', '\\1' || chr(30) || '\\2', 'g'"
+    return f"""src AS ({source}), cutup AS (SELECT section_id, text, string_split(regexp_replace(regexp_replace(text, {mark}), {mark}), chr(30)) AS l FROM src),
+parts AS (SELECT section_id, list_filter(list_transform(l, lambda x: trim(x, ' ')), lambda x: x <> '') AS s FROM cutup),
+sent AS (SELECT section_id, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS pos, len(s) AS n FROM parts)"""
+
+
+ONE_TEXT = "SELECT section_id, min(text) AS text FROM sections WHERE text IS NOT NULL GROUP BY section_id"
+WINDOWS = sql_split("SELECT DISTINCT section_id, text FROM sections WHERE text IS NOT NULL") + """,
+once AS (SELECT section_id, min(s) AS s FROM parts WHERE len(s) > 0 GROUP BY section_id),
+starts AS (SELECT section_id, s, len(s) AS n, unnest(generate_series(0, greatest(len(s) - 2, 0), 2)) AS core_start FROM once),
+win AS (SELECT section_id, CAST(core_start / 2 AS INT) AS k, CAST(greatest(core_start - 1, 0) AS INT) AS window_start, CAST(core_start AS INT) AS core_start, CAST(least(core_start + 3, n) AS INT) AS core_end, CAST(least(least(core_start + 3, n) + 1, n) AS INT) AS window_end,
+        array_to_string(s[greatest(core_start - 1, 0) + 1 : least(least(core_start + 3, n) + 1, n)], ' ') AS text FROM starts)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "sentence_windows": f"WITH {WINDOWS} SELECT section_id, k, window_start, core_start, core_end, window_end, md5(text) AS digest FROM win",
+        "number_context": f"WITH {WINDOWS} SELECT a.section_id, a.k, b.text IS NOT NULL AS has_context, CAST(length(b.text) AS INT) AS context_chars FROM win a LEFT JOIN win b ON b.section_id = a.section_id AND b.k = a.k - 1 WHERE regexp_matches(a.text, '[0-9]')",
+        "window_overlaps": f"WITH {WINDOWS} SELECT a.section_id, a.k, b.k AS other FROM win a JOIN win b ON b.section_id = a.section_id AND b.k > a.k AND b.window_start < a.window_end",
+        "dollar_sentences": f"""WITH {sql_split("SELECT DISTINCT section_id, text FROM sections WHERE text IS NOT NULL")},
+d AS (SELECT section_id, pos, len(regexp_extract_all(lower(sentence), 'oblig|commit|lease|debt|guarantee|borrow|credit')) AS score FROM sent WHERE regexp_matches(sentence, '[$]\\s?[0-9]')),
+r AS (SELECT *, row_number() OVER (PARTITION BY section_id ORDER BY score DESC, pos) AS k FROM d) SELECT section_id, CAST(pos AS INT) AS pos, CAST(score AS INT) AS score, CAST(k AS INT) AS k FROM r WHERE k <= 8""",
         "filing_index": "SELECT * FROM (VALUES ('a3', '10-Q', 'interim', DATE '2026-05-01', 'q.htm', ''), ('a2', '8-K', 'current', DATE '2026-04-20', 'r.htm', '2.02'), ('a1', '10-K', 'annual', DATE '2026-02-10', 'k.htm', ''), ('a0', '20-F', 'annual', DATE '2024-03-01', 'f.htm', '')) t(accession, form, role, filing_date, primary_doc, items)",
         "filing_roles": f"SELECT {BASE} AS base, {ROLE} AS role, count(*) AS n, max(filing_date) AS newest FROM (SELECT DISTINCT * FROM filings) GROUP BY 1, 2",
         "filer_types": f"""WITH f AS (SELECT DISTINCT ticker, filing_date, accession, {BASE} AS b FROM filings WHERE ticker IS NOT NULL),
