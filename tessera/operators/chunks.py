@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tessera.functions.text import split_sentences
 
 CORE, STRIDE, CONTEXT = 3, 2, 1
-BLOCK = 2048
+BLOCK, SALT = 2048, 16
 # Phrases of boilerplate chunks.
 BOILERPLATE = ["forward-looking", "safe harbor", "incorporated by reference", "table of contents", "basis of presentation", "recently adopted accounting", "for information only", "subject to change without notice", "all rights reserved"]
 
@@ -101,7 +101,11 @@ def nearest(queries: DataFrame, rows: DataFrame, id_col: str, vec_col: str, k: i
     """
     q = _blocks(queries, id_col, vec_col, fence or ("label" if boost else None), BLOCK).select(*[F.col(c).alias(f"q_{c}") for c in ("ids", "labels", "dim", "matrix")])
     b = _blocks(rows, id_col, vec_col, fence or ("label" if boost else None), BLOCK)
-    pairs = b.join(q, F.col("dim") == F.col("q_dim"))  # blocks of one dimension: (n/BLOCK) * (q/BLOCK) matrix products
+    # every block of rows meets every block of queries of its dimension: (n/BLOCK) * (q/BLOCK) matrix products, spread by the
+    # block's hash. Exact, so quadratic; ``vectors.search`` is the way for large tables.
+    b = b.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(SALT)).cast("int"))
+    q = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    pairs = b.join(q, (F.col("dim") == F.col("q_dim")) & (b["salt"] == q["salt"])).select("ids", "labels", "dim", "matrix", "q_ids", "q_labels", "q_matrix")
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in batches:
@@ -114,12 +118,10 @@ def nearest(queries: DataFrame, rows: DataFrame, id_col: str, vec_col: str, k: i
                     ok &= same
                 key = np.round(score + boost * same, 6)
                 key[~ok] = -np.inf
-                out = []
-                for i in range(len(qi)):
-                    j = np.lexsort((bi, -key[i]))[:k]
-                    j = j[np.isfinite(key[i][j])]
-                    out.append(pd.DataFrame({"query_id": np.full(len(j), qi[i]), "row_id": bi[j], "score": key[i][j]}))
-                yield pd.concat(out, ignore_index=True)
+                n = min(k, len(bi))
+                least = np.partition(key, len(bi) - n, axis=1)[:, len(bi) - n]  # ties at the k-th place all travel on
+                i, j = np.nonzero((key >= least[:, None]) & np.isfinite(key))
+                yield pd.DataFrame({"query_id": qi[i], "row_id": bi[j], "score": key[i, j]})
 
     got = pairs.mapInPandas(best, "query_id bigint, row_id bigint, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id")

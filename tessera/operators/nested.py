@@ -18,6 +18,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tessera.session import cut
+
 FENCE = r"^(?U)\s*```\w*\s*|(?U)\s*```\s*$"
 ENCODED = r"^\s*[\[{\"]"
 BLANK = r"^(?U)\s*$"
@@ -263,6 +265,40 @@ def _walk(schema: str) -> Iterator[tuple[str, str]]:
     yield from ((p, t) for p, t in kind("") if p)
 
 
+def recursive_tables(df: DataFrame, key: str, json_col: str) -> tuple[DataFrame, DataFrame]:
+    """Every array level of every record as a child table, whatever arrays there are: ``(items, fields)``.
+
+    ``items``: ``rec, table, item_id, parent_id, ordinal``, a row per record (table ``$``) and per element of an array at
+    any depth, named by the array's path; ``fields``: ``item_id, field, value``, the scalars of an item, those of objects
+    inside it under dotted names. A round takes one level of objects and arrays apart, so there are as many rounds as
+    records are deep; text that encodes JSON is taken apart like what it encodes, and null members give no rows.
+    """
+    rows = parse(df.select(F.col(key).alias("rec"), F.col(json_col).alias("json")).filter("json is not null").distinct(), "json").filter("v is not null")
+    blank = F.lit(None).cast("string")
+    now = rows.select("rec", F.lit("$").alias("table"), F.concat(F.col("rec").cast("string"), F.lit("/"), F.md5("json")).alias("item_id"), blank.alias("parent_id"), F.lit(0).alias("ordinal"), F.lit("").alias("prefix"), F.lit(True).alias("fresh"), "v")
+    items = fields = None
+    while True:
+        now = cut(now)
+        if now.isEmpty():
+            break
+        v = now.withColumn("v", _decode(F.col("v"))).withColumn("kind", F.regexp_extract(F.schema_of_variant("v"), r"^(OBJECT|ARRAY)", 1))
+        fresh = v.filter("fresh").select("rec", "table", "item_id", "parent_id", "ordinal")
+        scalar = v.filter("kind = ''").select("item_id", F.when(F.col("prefix") == "", F.lit("item")).otherwise(F.col("prefix")).alias("field"), F.try_variant_get("v", "$", "string").alias("value"))
+        items = fresh if items is None else items.unionByName(fresh)
+        fields = scalar if fields is None else fields.unionByName(scalar)
+        name = F.when(F.col("prefix") == "", F.col("k")).otherwise(F.concat_ws(".", "prefix", "k"))
+        obj = v.filter("kind = 'OBJECT'").select("rec", "table", "item_id", "parent_id", "ordinal", "prefix", F.explode(F.try_variant_get("v", "$", "map<string,variant>")).alias("k", "m"))
+        arr = v.filter("kind = 'ARRAY'").select("rec", "table", "item_id", "prefix", F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("n", "m"))
+        inner = obj.select("rec", "table", "item_id", "parent_id", "ordinal", name.alias("prefix"), F.lit(False).alias("fresh"), F.col("m").alias("v"))
+        path = F.when(F.col("prefix") == "", F.concat("table", F.lit("[]"))).otherwise(F.concat_ws(".", "table", "prefix"))
+        below = arr.select("rec", path.alias("table"), F.concat_ws("/", "item_id", "prefix", (F.col("n") + 1).cast("string")).alias("item_id"), F.col("item_id").alias("parent_id"), (F.col("n") + 1).cast("int").alias("ordinal"), F.lit("").alias("prefix"), F.lit(True).alias("fresh"), F.col("m").alias("v"))
+        now = inner.unionByName(below).filter(F.col("v").isNotNull() & ~F.is_variant_null("v"))
+    if items is None:
+        none = df.sparkSession.createDataFrame([], "rec string, table string, item_id string, parent_id string, ordinal int")
+        return none, df.sparkSession.createDataFrame([], "item_id string, field string, value string")
+    return items, fields
+
+
 #: The collections of the run events.
 EVENT_COLLECTIONS = [
     Collection("plan_question", "plan.key_questions", ("planner",), "plan_kpi", "kpis"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.operators import nested, units
 from tessera.session import table
@@ -21,6 +21,13 @@ def _flat(entity: str) -> Query:
     return lambda s, d: nested.event_tables(table(s, d, "run_events")).flat(entity, FIELDS[entity])
 
 
+def _tables(s: SparkSession, d: str) -> DataFrame:
+    """The tables that all readable records fall apart into: how many rows and parents each has."""
+    items, fields = nested.recursive_tables(table(s, d, "run_events"), "event_id", "data")
+    n = fields.groupBy("item_id").agg(F.count("*").alias("n"))
+    return items.join(n, "item_id", "left").groupBy("table").agg(F.count("*").alias("rows"), F.count_distinct("parent_id").alias("parents"), F.max("ordinal").alias("longest"), F.sum("n").alias("fields"))
+
+
 def _amounts(s: SparkSession, d: str) -> DataFrame:
     return units.run_amounts(table(s, d, "runs"), table(s, d, "fx"), table(s, d, "common_units"))
 
@@ -29,6 +36,7 @@ def queries() -> dict[str, Query]:
     return {
         "p3_found": lambda s, d: nested.event_tables(table(s, d, "run_events")).found(),
         **{f"p3_{e}": _flat(e) for e in FIELDS},
+        "p3_tables": lambda s, d: _tables(s, d),
         "p6_found": lambda s, d: _amounts(s, d).select("run_id", "line_no", "amount").distinct(),
         "p6_amounts": _amounts,
         "p6_rejected": lambda s, d: units.run_rejected(table(s, d, "runs"), table(s, d, "fx"), table(s, d, "common_units")),

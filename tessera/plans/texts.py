@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.functions import text as T
-from tessera.operators import chunks as C, filings as L
+from tessera.operators import chunks as C, filings as L, vectors as V
 from tessera.session import table
 
 HISTORY = '{"form":["10-Q","8-K","10-K/A"],"accessionNumber":["a3","a2","a1"],"filingDate":["2026-05-01","2026-04-20","2026-02-10"],"primaryDocument":["q.htm","r.htm","k.htm"],"items":["","2.02",""]}'
@@ -51,6 +51,32 @@ def section_longest_span(s: SparkSession, d: str) -> DataFrame:
     return s.createDataFrame([(PAGE,)], "page string").select(L.longest_section(F.col("page"), r"Item 1A\. Risk Factors", r"Item 2\. Properties").alias("section"))
 
 
+def _pages(s: SparkSession, d: str) -> DataFrame:
+    """Annual and interim filings put together from their sections: a table of contents, then each part under its item's heading."""
+    x = table(s, d, "sections").filter("doc_id is not null and text is not null and section is not null").select("section_id", "doc_id", "section", "text", L.base_form(F.col("form")).alias("base")).distinct()
+    item = F.regexp_replace(F.regexp_replace("section", r"^Part I+ ", ""), r"^Item 2$", "Item 2. Management's Discussion")
+    own = x.filter(F.col("base").isin("10-K", "10-Q") & F.col("section").rlike(r"Item \d")).select("doc_id", "base", F.struct("section_id", item.alias("item"), "text").alias("p"))
+    g = own.groupBy("doc_id", "base").agg(F.sort_array(F.collect_list("p")).alias("ps"))  # the parts of one filing
+    contents = F.array_join(F.transform("ps", lambda p: F.concat(p["item"], F.lit(" . . . . . . . . . . . . 5"))), "\n")
+    return g.select("doc_id", "base", F.concat(contents, F.lit("\n"), F.array_join(F.transform("ps", lambda p: F.concat(p["item"], F.lit("\n"), p["text"])), "\n")).alias("page"))
+
+
+def form_sections(s: SparkSession, d: str) -> DataFrame:
+    """The narrative sections found in the filings by the rules of their form: how long each is."""
+    got = L.form_sections(_pages(s, d), "doc_id", "base", "page")
+    return got.select("doc_id", "section", F.length("text").alias("chars"))
+
+
+def risk_captions(s: SparkSession, d: str) -> DataFrame:
+    """Sections as pages whose first sentence is set in bold: the captions that the markup tells, and their place."""
+    x = table(s, d, "sections").filter("text is not null").groupBy("section_id").agg(F.min("text").alias("text"))
+    first = F.get(T.split_sentences(F.col("text")), F.lit(0))
+    tags = F.when(F.col("section_id") % 2 == 0, F.lit("b")).otherwise(F.lit("em"))
+    clean = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    page = F.concat(F.lit("<div><p><"), tags, F.lit(">"), clean(first), F.lit("</"), tags, F.lit("></p><p>"), clean(F.col("text")), F.lit("</p></div>"))
+    return L.risk_captions(x.withColumn("page", page), "section_id", "page", "text").select("section_id", "pos", F.md5("caption").alias("digest"))
+
+
 def missing_sections(s: SparkSession, d: str) -> DataFrame:
     """Filings that none of the sections came from, by form: an anti-join."""
     f = table(s, d, "filings").select("doc_id", "form").distinct()
@@ -110,6 +136,28 @@ def cosine_topk(s: SparkSession, d: str) -> DataFrame:
     return C.nearest(_queries(s, d), table(s, d, "embeddings"), "vec_id", "embedding", 5).select("query_id", "row_id", F.round("score", 4).alias("score"), "rank")
 
 
+def indexed_topk(s: SparkSession, d: str) -> DataFrame:
+    """The neighbours that the index finds, for the same queries."""
+    return V.search(_queries(s, d), table(s, d, "embeddings"), "vec_id", "embedding", 5).select("query_id", "row_id", F.round("score", 4).alias("score"), "rank")
+
+
+def indexed_recall(s: SparkSession, d: str) -> DataFrame:
+    """Whether the index finds at least nine tenths of the exact neighbours, over all queries."""
+    got = V.recall(indexed_topk(s, d), C.nearest(_queries(s, d), table(s, d, "embeddings"), "vec_id", "embedding", 5))
+    return got.select("queries", (F.col("recall") >= 0.9).alias("enough"))
+
+
+def indexed_topk(s: SparkSession, d: str) -> DataFrame:
+    """The neighbours that the index finds, for the same queries."""
+    return V.search(_queries(s, d), table(s, d, "embeddings"), "vec_id", "embedding", 5).select("query_id", "row_id", F.round("score", 4).alias("score"), "rank")
+
+
+def indexed_recall(s: SparkSession, d: str) -> DataFrame:
+    """Whether the index finds at least nine tenths of the exact neighbours, over all queries."""
+    got = V.recall(indexed_topk(s, d), C.nearest(_queries(s, d), table(s, d, "embeddings"), "vec_id", "embedding", 5))
+    return got.select("queries", (F.col("recall") >= 0.9).alias("enough"))
+
+
 def cosine_floor_best(s: SparkSession, d: str) -> DataFrame:
     """Rows reached by any query above the floor, with their best score."""
     got = C.nearest(_queries(s, d), table(s, d, "embeddings"), "vec_id", "embedding", 20, floor=0.2)
@@ -142,7 +190,7 @@ def related_leads(s: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     fs = [filing_index, filing_roles, filer_types, newest_filings, report_kinds, exhibit_ranks, section_longest_span, missing_sections, sentence_windows, boilerplate_windows, number_context, window_overlaps, truncate_sentence, url_keys,
-          label_similarities, dollar_sentences, cosine_topk, cosine_floor_best, retrieve_fenced, retrieve_boosted, retrieve_greedy, related_leads]
+          label_similarities, dollar_sentences, form_sections, risk_captions, cosine_topk, indexed_topk, indexed_recall, indexed_topk, indexed_recall, form_sections, risk_captions, cosine_floor_best, retrieve_fenced, retrieve_boosted, retrieve_greedy, related_leads]
     return {f.__name__: f for f in fs}
 
 
@@ -201,6 +249,15 @@ FROM (SELECT DISTINCT section_id, url FROM sections WHERE url IS NOT NULL) GROUP
         "label_similarities": f"""WITH x AS (SELECT DISTINCT risk_title, section FROM sections WHERE risk_title IS NOT NULL AND section IS NOT NULL), w AS (SELECT *, {_words('risk_title')} AS a, {_words('section')} AS b, lower(trim(risk_title)) AS la, lower(trim(section)) AS lb FROM x)
 SELECT risk_title, section, round(CASE WHEN la = lb THEN 1.0 WHEN contains(la, lb) OR contains(lb, la) THEN 0.9 WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 0.0 ELSE CAST(len(list_intersect(a, b)) AS DOUBLE) / len(list_distinct(list_concat(a, b))) END, 6) AS similarity FROM w""",
         "cosine_topk": f"WITH {COS}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, row_id) AS INT) AS rank FROM c) SELECT query_id, row_id, round(s, 4) AS score, rank FROM r WHERE rank <= 5",
+        "indexed_recall": "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 20 = 0",
+        "form_sections": f"""WITH x AS (SELECT DISTINCT section_id, doc_id, section, text, {BASE} AS base FROM sections WHERE doc_id IS NOT NULL AND text IS NOT NULL AND section IS NOT NULL),
+p AS (SELECT doc_id, base, regexp_replace(section, '^Part I+ ', '') AS item, trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(160) || chr(12288)) AS body, text FROM x WHERE base IN ('10-K', '10-Q') AND regexp_matches(section, 'Item [0-9]')),
+names(base, item, section, least) AS (VALUES ('10-K', 'Item 1', 'Item 1', 500), ('10-K', 'Item 1A', 'Item 1A', 500), ('10-K', 'Item 7', 'Item 7', 500), ('10-Q', 'Item 2', 'Item 2 (10-Q MD&A)', 500), ('10-Q', 'Item 1A', 'Item 1A (10-Q update)', 300)),
+spans AS (SELECT doc_id, n.section, n.least, length(CASE WHEN p.item = 'Item 2' THEN 'Item 2. Management''s Discussion' ELSE p.item END) + 1 + length(rtrim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(160) || chr(12288))) AS chars FROM p JOIN names n ON n.base = p.base AND n.item = p.item WHERE body <> ''),
+best AS (SELECT doc_id, section, least, max(chars) AS chars FROM spans GROUP BY ALL)
+SELECT d.doc_id, n.section, CAST(CASE WHEN b.chars >= n.least THEN b.chars END AS INT) AS chars FROM (SELECT DISTINCT doc_id, base FROM p) d JOIN names n ON n.base = d.base LEFT JOIN best b ON b.doc_id = d.doc_id AND b.section = n.section""",
+        "risk_captions": f"""WITH {sql_split(ONE_TEXT)}, f AS (SELECT section_id, trim(regexp_replace(replace(s[1], chr(160), ' '), '\\s+', ' ', 'g'), ' ') AS c FROM parts WHERE len(s) > 0)
+SELECT section_id, CAST(1 AS INT) AS pos, md5(c) AS digest FROM f WHERE len(string_split(c, ' ')) BETWEEN 6 AND 60 AND (ends_with(c, '.') OR ends_with(c, '?'))""",
         "cosine_floor_best": f"WITH {COS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, row_id) AS rank FROM c WHERE s >= 0.2) SELECT row_id, round(max(s), 4) AS best, count(*) AS n FROM r WHERE rank <= 20 GROUP BY row_id",
         "retrieve_fenced": f"WITH {COS}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, row_id) AS INT) AS rank FROM c WHERE same) SELECT query_id, row_id, round(s, 4) AS score, rank FROM r WHERE rank <= 5",
         "retrieve_boosted": f"WITH {COS}, t AS (SELECT query_id, row_id, s + CASE WHEN same THEN 100.0 ELSE 0.0 END AS s FROM c), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, row_id) AS INT) AS rank FROM t) SELECT query_id, row_id, round(s, 4) AS score, rank FROM r WHERE rank <= 5",
