@@ -51,6 +51,8 @@ EVENT = re.compile(
     rf"|(?P<s>(?<=[฀-๿])[ \u00a0\x1f]+(?=[฀-๿]))"
 )
 SHUT, UNQUOTE, INITIALS = re.compile(r"[)）\]】]"), re.compile(r"[\"“”’」』»›]"), re.compile(r"[^\W\d_](\.[^\W\d_])*\Z")
+#: The end of a sentence that the next one follows without a space.
+GLUED = re.compile(r"^.*[^\W\d_]{3,}[.!?](?=[A-Z])")
 WORD_BACK = re.compile(r"[^\s\x1f\"“„«(\[（]*\Z")
 NEXT_WORD = re.compile(rf"[{SPACES}]*([^{SPACES}]?[^{SPACES},.;:!?)”\"]*)")
 
@@ -183,6 +185,8 @@ def _term(text: str, m: re.Match) -> int | None:
             return event(not after.islower()) if not after.isascii() or after.isupper() else None
         return event(after in "\"“„«「(") if after in "\"“„«「(,;:" else None
     word = WORD_BACK.search(text, max(0, m.start() - 40), m.start())[0].strip("'’‘")
+    if "." in word:
+        word = GLUED.sub("", word)
     if len(run) > 1 or run == "…":
         if not apart and after and ord(after) > 0x2E80:
             return event(False)

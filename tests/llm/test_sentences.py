@@ -88,3 +88,8 @@ def test_long_sections_of_the_tables_are_read_in_chunks(spark):
     for r in S.sentences(df.filter(df.section_id.isin(list(texts)))).collect():
         got.setdefault(r.section_id, []).append(r.end_pos)
     assert len(texts) >= 3 and {i: sorted(v) for i, v in got.items()} == {i: e for i, t in texts.items() if (e := S.sentence_ends(t))}
+
+
+def test_titles_after_a_sentence_without_a_space():
+    text = "It met the list.Dr. Ulmpel left. It was flat.J. R. Irv joined in the U.S. We saw it."
+    assert [text[a:b].strip() for a, b in zip([0, *S.sentence_ends(text)], S.sentence_ends(text), strict=False)] == ["It met the list.", "Dr. Ulmpel left.", "It was flat.", "J. R. Irv joined in the U.S.", "We saw it."]
