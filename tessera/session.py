@@ -59,18 +59,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, which ``spark.checkpoint.dir`` names.
+
+    Only on one machine (a local master), and only where none is set, a temporary one is made.
+    """
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if named is None and not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return named or tempfile.mkdtemp(prefix=f"tessera-{os.getpid()}-")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the cluster's shared checkpoint folder and drop its lineage.
 
-    The folder named by ``spark.checkpoint.dir`` is used; only where none is set (tests, one machine)
-    a temporary one is made. Files there survive the loss of executors, unlike a local checkpoint.
+    Files there survive the loss of executors, unlike a local checkpoint.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if named is None and not sc.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix=f"tessera-{os.getpid()}-"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -9,17 +9,11 @@ no part where event time decides.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Iterator
-from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.session import ship
-
-STATE = "run_id bigint, events bigint, last_seq int, last_event string, verdicts bigint"
+from tessera.session import shared_dir, ship
 
 
 def source(spark: SparkSession, path: str) -> DataFrame:
@@ -34,9 +28,8 @@ def source(spark: SparkSession, path: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared one; a temporary one only where none is named."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessera-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder below the one that all executors share."""
+    return f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -78,22 +71,12 @@ def hourly(events: DataFrame, delay: str | None = "10 minutes") -> DataFrame:
 
 
 def run_state(events: DataFrame) -> DataFrame:
-    """State of each run folded over its events: how many, the last by seq, and the verdicts so far."""
-    e = events.filter("run_id is not null").select("run_id", "seq", "event", "event_id").dropDuplicates(["event_id"])
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        n, seq, last, verdicts = state.get if state.exists else (0, -1, "", 0)
-        for b in batches:
-            n += len(b)
-            for s, ev in zip(b["seq"].fillna(-1), b["event"].fillna(""), strict=True):
-                ev = ev.strip().lower()
-                verdicts += ev in ("judge", "review")
-                if (int(s), ev) > (seq, last):
-                    seq, last = int(s), ev
-        state.update((n, seq, last, verdicts))
-        yield pd.DataFrame({"run_id": [key[0]], "events": [n], "last_seq": [seq], "last_event": [last], "verdicts": [verdicts]})
-
-    return e.groupBy("run_id").applyInPandasWithState(fold, STATE, "n bigint, seq int, last string, verdicts bigint", "update", "NoTimeout")
+    """State of each run over its events, each taken once: how many, the last by seq, and the verdicts so far; a streaming aggregate."""
+    kind = F.lower(F.trim(F.coalesce("event", F.lit(""))))
+    e = events.filter("run_id is not null").select("run_id", "event_id", F.coalesce("seq", F.lit(-1)).alias("seq"), kind.alias("event")).dropDuplicates(["event_id"])
+    last = F.max(F.struct("seq", "event"))
+    state = e.groupBy("run_id").agg(F.count("*").alias("events"), last.alias("last"), F.count_if(F.col("event").isin("judge", "review")).alias("verdicts"))
+    return state.select("run_id", "events", F.col("last.seq").alias("last_seq"), F.col("last.event").alias("last_event"), "verdicts")
 
 
 def enriched(events: DataFrame, runs: DataFrame) -> DataFrame:
