@@ -43,17 +43,18 @@ BULLET = re.compile(r"[ \t]*(?:[-•*–·▪◦]|\d{1,3}[.)]|\(\w\))[ \t ]")
 UNAVAILABLE = re.compile(r"\s*\[[^\[\]]*\bunavailable\b[^\[\]]*\]\s*\Z", re.I)
 WRAP_LEAST, WRAP_MOST, WRAP_USUAL = 50, 100, 78
 
+#: The look-ahead names what an event can begin with, so that other characters are passed at little cost.
 EVENT = re.compile(
-    rf"(?P<n>\n)"
+    rf"(?=[\n.!?…。！？｡।॥؟„«「『‹”»」』›\"“(（\[【)）\]】 \u00a0\x1f])(?:(?P<n>\n)"
     rf"|(?P<t>[.!?…。！？｡।॥؟]+)(?P<c>(?:[”’」』）】)\]]|[\"“](?!\w)|[ \u00a0\u202f\x1f]?[»›])*)"
     rf"|(?P<o>[„«「『‹])|(?P<k>[”»」』›])|(?P<q>[\"“])"
     rf"|(?P<b>[(（\[【])|(?P<d>[)）\]】])"
-    rf"|(?P<s>(?<=[฀-๿])[ \u00a0\x1f]+(?=[฀-๿]))"
+    rf"|(?P<s>(?<=[฀-๿])[ \u00a0\x1f]+(?=[฀-๿])))"
 )
 SHUT, UNQUOTE, INITIALS = re.compile(r"[)）\]】]"), re.compile(r"[\"“”’」』»›]"), re.compile(r"[^\W\d_](\.[^\W\d_])*\Z")
 #: The end of a sentence that the next one follows without a space.
 GLUED = re.compile(r"^.*[^\W\d_]{3,}[.!?](?=[A-Z])")
-WORD_BACK = re.compile(r"[^\s\x1f\"“„«(\[（]*\Z")
+WORD_BREAK = re.compile(r"[\s\x1f\"“„«(\[（]")
 NEXT_WORD = re.compile(rf"[{SPACES}]*([^{SPACES}]?[^{SPACES},.;:!?)”\"]*)")
 
 # The alphabet of the transducer.
@@ -184,7 +185,7 @@ def _term(text: str, m: re.Match) -> int | None:
         if after.isalpha():
             return event(not after.islower()) if not after.isascii() or after.isupper() else None
         return event(after in "\"“„«「(") if after in "\"“„«「(,;:" else None
-    word = WORD_BACK.search(text, max(0, m.start() - 40), m.start())[0].strip("'’‘")
+    word = WORD_BREAK.split(text[max(0, m.start() - 40) : m.start()])[-1].strip("'’‘")
     if "." in word:
         word = GLUED.sub("", word)
     if len(run) > 1 or run == "…":
@@ -352,16 +353,35 @@ def cut_points(text: str, size: int) -> list[int]:
     return [*cuts, len(text)]
 
 
+def _resolve() -> tuple[np.ndarray, np.ndarray]:
+    """[kind, right state]: what ``look_right`` makes of an event read in a right state, and the state left of it."""
+    kinds, states = np.zeros((KINDS, RIGHT_STATES), np.int8), np.zeros((KINDS, RIGHT_STATES), np.int8)
+    for kind in range(KINDS):
+        for state in range(RIGHT_STATES):
+            got, states[kind, state] = look_right([(kind, 0, 0)], state)
+            kinds[kind, state] = got[0][0]
+    return kinds, states
+
+
+RESOLVED, RIGHT = _resolve()
+
+
 def chunk_function(ev: list[tuple[int, int, int]]) -> np.ndarray:
-    """[right state at the right end, 1 + left state at the left end] -> state; column 0 is the right state at the left end."""
-    f = np.zeros((RIGHT_STATES, 1 + STATES), np.int8)
-    for r in range(RIGHT_STATES):
-        resolved, f[r, 0] = look_right(ev, r)
-        state = np.arange(STATES, dtype=np.int8)
-        for kind, _, _ in resolved:
-            state = NEXT[kind][state]
-        f[r, 1:] = state
-    return f
+    """[right state at the right end, 1 + left state at the left end] -> state; column 0 is the right state at the left end.
+
+    All right states, then all pairs of states, are carried through the events together.
+    """
+    kinds = [k for k, _, _ in ev]
+    right = np.arange(RIGHT_STATES, dtype=np.int8)
+    seen = [right] * len(kinds)
+    for i in range(len(kinds) - 1, -1, -1):
+        k = kinds[i]
+        seen[i] = RESOLVED[k][right]
+        right = RIGHT[k][right]
+    state = np.tile(np.arange(STATES, dtype=np.int8), (RIGHT_STATES, 1))
+    for k in seen:
+        state = NEXT[k[:, None], state]
+    return np.hstack([right[:, None], state])
 
 
 def scan(functions: np.ndarray) -> np.ndarray:
