@@ -7,7 +7,7 @@ from tessera.plans import figures, governance
 
 def test_sql_functions_equal_the_expressions(spark):
     assert set(registry.register(spark)) == {"period_class", "extract_claims", "normalize_number", "parse_tables"}
-    spark.createDataFrame([(x,) for x in [*governance.CASES, *governance.HEADINGS, None]], "x string").createOrReplaceTempView("cases")
+    spark.createDataFrame([(x,) for x in [*governance.CASES, *governance.HEADINGS, *[t for _, t in governance.CASE_VERDICTS]]], "x string").createOrReplaceTempView("cases")
     got = spark.sql("SELECT x, normalize_number(x) AS n, period_class(x) AS p, extract_claims(x) AS c FROM cases").collect()
     want = {r.x: r for r in spark.table("cases").select("x", N.canonical(F.col("x")).alias("n"), P.period_class(F.col("x")).alias("p"), N.claims(F.col("x")).alias("c")).collect()}
     assert all((r.n, r.p, r.c) == (want[r.x].n, want[r.x].p, want[r.x].c) for r in got)
@@ -32,8 +32,8 @@ def test_caps_and_excerpts(spark):
 def test_scales_and_archetypes(spark):
     p = spark.createDataFrame([(1, "[A | USD millions]\nx"), (2, "[A | USD millions]\n-- B (EUR, thousands) --"), (3, "thousands"), (4, None)], "k bigint, t string")
     assert {r.k: r.scale for r in K.document_scale(p, "k", "t").collect()} == {1: "million", 2: None, 3: None, 4: None}
-    x = spark.createDataFrame([("Freight and depots.",), ("Lending, retail.",), ("None of it.",), (None,)], "t string")
-    assert [r.a for r in x.select(K.archetype(F.col("t")).alias("a")).collect()] == ["logistics", "finance", None, None]
+    x = spark.createDataFrame([("Wafers and microcontrollers for software.",), ("Lending, deposits.",), ("None of it.",), (None,)], "t string")
+    assert [r.a for r in x.select(K.archetype(F.col("t")).alias("a")).collect()] == ["semis_hardware", "bank", None, None]
 
 
 def test_headline_share(spark):
