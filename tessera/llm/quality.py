@@ -50,8 +50,14 @@ NAMES = (
 )
 
 
+#: What parts the fields of a line; lags that periodicity is looked for at.
+DELIMITERS = ",;|\t:"
+LAGS = 8
+POINTS = ".!?。！？।؟"
+
+
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Class bits of the code points below 0x10000: 1 space, 2 letter, 4 digit, 8 code symbol, 16 odd."""
+    """Class bits of the code points below 0x10000: 1 space, 2 letter, 4 digit, 8 code symbol, 16 odd, 32 delimiter, 64 terminator, 128 one that no space follows."""
     bits = np.zeros(0x10000, np.uint8)
     for o in range(0x10000):
         if 0xD800 <= o < 0xE000:
@@ -65,16 +71,16 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
             b |= 8
         if ch == "�" or o < 32 and ch not in "\n\r\t" or 0x80 <= o < 0xA0 or ch in "ÂÃâ©»¿":
             b |= 16
+        if ch in DELIMITERS:
+            b |= 32
+        if ch in POINTS:
+            b |= 64 if ch in ".!?" else 192
         bits[o] = b
     upper = np.array([chr(o).isupper() if not 0xD800 <= o < 0xE000 else False for o in range(0x600)])
     return bits, upper
 
 
 BITS, UPPER = _tables()
-#: What parts the fields of a line; lags that periodicity is looked for at.
-DELIMITERS = np.array([ord(c) for c in ",;|\t:"], np.uint32)
-LAGS = 8
-POINTS = np.array([ord(c) for c in ".!?。！？।؟"], np.uint32)
 
 
 def _prose_line(line: str, thai: bool, cjk: bool) -> bool:
@@ -99,32 +105,37 @@ def _prose_line(line: str, thai: bool, cjk: bool) -> bool:
     return "    " not in bare and "\t" not in bare and sum(map(line.count, "{}=<>_\\|;[]")) <= 0.02 * len(line) + 1
 
 
-def column_alignment(cp: np.ndarray) -> float:
+def column_alignment(cp: np.ndarray, b: np.ndarray) -> float:
     """Share of the delimiters that stand at the same column as the same delimiter of the line before.
 
     Delimiters are the marks of ``DELIMITERS`` and the ends of runs of two or more spaces (a column of padded text);
-    the white space a line begins with isn't one.
+    the white space a line begins with isn't one. ``b`` holds the class bits of the code points.
     """
     breaks = np.flatnonzero(cp == 10)
-    starts = np.concatenate([[0], breaks + 1])
+    if len(breaks) < 2:
+        return 0.0
     space = cp == 32
-    gap_end = np.zeros(len(cp), bool)
-    gap_end[2:] = space[:-2] & space[1:-1] & ~space[2:] & (cp[2:] != 10)
-    at = np.flatnonzero(np.isin(cp, DELIMITERS) | gap_end)
+    hit = (b & 32) > 0
+    hit[2:] |= space[:-2] & space[1:-1] & ~space[2:] & (cp[2:] != 10)
+    at = np.flatnonzero(hit)
     if len(at) < 3:
         return 0.0
+    starts = np.concatenate([[0], breaks + 1])
+    ink = np.flatnonzero(~(space | (cp == 9) | (cp == 10)))
     line = np.searchsorted(breaks, at)
-    ink = ~(space | (cp == 9))
-    seen = np.cumsum(ink)
-    begun = seen[at] - ink[at] > np.where(starts[line] > 0, seen[starts[line] - 1], 0)
+    # the place of the first ink at or after the start of each line tells whether a delimiter has ink before it
+    first = np.searchsorted(ink, starts)
+    first = np.where(first < len(ink), ink[np.minimum(first, len(ink) - 1)], len(cp))
+    begun = first[line] < at
     at, line = at[begun], line[begun]
     if len(at) < 3:
         return 0.0
-    width = int(np.max(np.diff(np.concatenate([starts, [len(cp) + 1]])))) + 1
-    mark = np.where(np.isin(cp[at], DELIMITERS), cp[at], 32).astype(np.int64)
-    key = (line.astype(np.int64) * width + (at - starts[line])) * 0x110000 + mark
-    met = np.isin(key - np.int64(width) * 0x110000, key, assume_unique=True)
-    return float(np.count_nonzero(met)) / len(at)
+    width = int(np.diff(starts, append=len(cp) + 1).max()) + 1
+    mark = np.where((b[at] & 32) > 0, cp[at], 32).astype(np.int64)
+    key = (line.astype(np.int64) * width + (at - starts[line])) * 0x110000 + mark  # in order, as the places are
+    above = key - np.int64(width) * 0x110000
+    i = np.minimum(np.searchsorted(key, above), len(key) - 1)
+    return float(np.count_nonzero(key[i] == above)) / len(at)
 
 
 def features(text: str | None) -> list[float]:
@@ -173,7 +184,7 @@ def features(text: str | None) -> list[float]:
                 mode = np.bincount(np.minimum(some, 999)).argmax()
                 alignment = max(alignment, float(np.count_nonzero(counts == mode)) / n_full * min(1.0, mode / 2))
 
-    columns = column_alignment(cp)
+    columns = column_alignment(cp, b)
 
     def auto(x: np.ndarray, lags: int) -> float:
         """The greatest autocorrelation over lags up to ``lags``."""
@@ -186,7 +197,7 @@ def features(text: str | None) -> list[float]:
     period = auto(indents, LAGS) if indented else 0.0
     sample = text.encode("utf-8", "surrogatepass")
     squeezed = len(zlib.compress(sample, 1)) / len(sample)
-    ends = int(np.count_nonzero(((b[1:] & 1) > 0) & np.isin(cp[:-1], POINTS))) + int(np.count_nonzero(np.isin(cp, POINTS[3:])))
+    ends = int(np.count_nonzero((b[1:] & 1 > 0) & (b[:-1] & 64 > 0))) + int(np.count_nonzero(b & 128))
     return [
         float(n), float(n_words), float(len(lines)), sum(map(len, words)) / n_words, (n - space - letter - digit) / ink, code / ink, digit / ink, upper / max(1, letter), ended / n_full, common / n_words, len(set(low)) / n_words,
         float(lengths.mean()), bullets / n_full, 1 - n_full / len(lines), indented / n_full, alignment, period, auto(lengths, 1), float(lengths.std() / lengths.mean()),
